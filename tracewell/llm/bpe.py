@@ -33,7 +33,7 @@ from .common import map_rows, read
 
 #: Unicode White_Space, which the pattern's \s means.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
-STATES, PIECES, PAIRS = 200_000, 250_000, 400_000
+STATES, PIECES, PAIRS = 300_000, 450_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
