@@ -199,7 +199,7 @@ def fit(docs: DataFrame, learn: F.Column, rows_per_lang: int = 200, chars_per_la
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of ``docs``: the kept columns, lang_pred, score."""
+    """One row per row of ``docs``: the kept columns (the text may be one of them), lang_pred, score."""
 
     def make():
         m = model(samples)

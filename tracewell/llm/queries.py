@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embed, langid, media, minhash, mixing, sharding
+from . import bpe, chat, embed, langid, media, minhash, mixing, pii, sharding
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_bpe": bpe.op2_bpe,
+    "op3_pii": pii.op3_pii,
     "op4_chat": chat.op4_chat,
     "op5_media": media.op5_media,
     "op7_mixing": mixing.op7_mixing,
