@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embed, langid, media, minhash, mixing, pii, sharding
+from . import bpe, chat, embed, langid, media, minhash, mixing, pii, sharding, suffixdedup
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_chat": chat.op4_chat,
     "op5_media": media.op5_media,
+    "op6_repeats": suffixdedup.op6_repeats,
     "op7_mixing": mixing.op7_mixing,
     "op8_minhash": minhash.op8_minhash,
     "op9_sharding": sharding.op9_sharding,
