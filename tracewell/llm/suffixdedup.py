@@ -41,8 +41,8 @@ from .minhash import _INVERSE, _POWER, _draws, _mix
 LENGTH, GRAM = 200, 100
 WINDOW = LENGTH - GRAM + 1
 SPAN, BATCH = 1 << 19, 3_000_000
-#: Rows that may be broadcast, by their counted number; beyond it both sides are shuffled.
-SMALL = 2_000_000
+#: List elements and single numbers that may be broadcast, by their counted number; beyond it both sides are shuffled.
+SMALL, SMALL_IDS = 500_000, 2_000_000
 ANCHOR = 0xFF  # no byte of UTF-8
 
 _U = np.uint64
@@ -120,8 +120,9 @@ class Order:
     def __init__(self, count: int):
         self.before = np.zeros(count, np.uint8)
         self.common = np.zeros(count, np.uint8)
-        self.name = np.arange(count, dtype=np.int64) << 8
+        self.name = np.arange(count, dtype=np.int32) << 8
         self.count = count
+        self.held = np.zeros(256, np.int64)
 
     def _tables(self):
         at = np.arange(0, len(self.common), self.STEP)
@@ -155,7 +156,9 @@ class Order:
         """Put ``symbols`` before the suffixes at ``places``; the new suffixes' places."""
         self.before[places] = symbols
         order = np.argsort(self.before, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(self.before, minlength=256))])
+        self.held += np.bincount(symbols, minlength=256)
+        self.held[0] = len(self.before) - self.held[1:].sum()
+        bounds = np.concatenate([[0], np.cumsum(self.held)])
         by = np.argsort(symbols, kind="stable")
         t = np.empty(len(places), np.int64)
         cuts = np.searchsorted(symbols[by], np.arange(257))
@@ -171,9 +174,8 @@ class Order:
         below[m] = 1 + self._least(places[m] + 1, order[t[m] + 1], level)
         new = self.count + t - bounds[1]
         size = len(self.before) + len(new)
-        fresh = np.zeros(size, bool)
-        fresh[new] = True
-        old = np.nonzero(~fresh)[0]
+        old = np.ones(size, bool)
+        old[new] = False
         for field, values in (("before", 0), ("common", above), ("name", owners << 8 | length)):
             array = np.empty(size, getattr(self, field).dtype)
             array[old] = getattr(self, field)
@@ -261,20 +263,27 @@ def _fetch(columns):
     return [gram, content, copies, part]
 
 
+def _merge(columns):
+    ids, marks, found = columns
+    out = []
+    for runs in found:
+        flat: list[int] = []
+        for a, b in sorted((r["start"] + s["a"], r["start"] + s["b"]) for r in runs for s in r["spans"]):
+            if flat and a <= flat[-1]:
+                flat[-1] = max(flat[-1], b)
+            else:
+                flat += [a, b]
+        out.append(flat)
+    return [ids, marks, out]
+
+
 def _cut_out(columns):
     ids, texts, found = columns
     out = [[], [], [], []]
-    for text, runs in zip(texts, found):
+    for text, flat in zip(texts, found):
         data = (text or "").encode()
         kept, removed, count, at = hashlib.sha256(), 0, 0, 0
-        ranges = sorted((r["start"] + s["a"], r["start"] + s["b"]) for r in runs or () for s in r["spans"])
-        merged: list[list[int]] = []
-        for a, b in ranges:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
+        for a, b in zip((flat or ())[::2], (flat or ())[1::2]):
             kept.update(data[at:a])
             removed, count, at = removed + b - a, count + 1, b
         kept.update(data[at:])
@@ -284,20 +293,20 @@ def _cut_out(columns):
 
 
 def _joined(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Join on the row's identity; the other side has one row for each document."""
+    """Join on the row's identity; the other side has a row with a list for each document."""
     other = other.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
-    small = other.count() <= SMALL // 8
+    small = (other.agg(F.sum(F.size(other.columns[-1]))).first()[0] or 0) <= SMALL
     return docs.join(F.broadcast(other) if small else other, docs["doc_id"].eqNullSafe(other["__id"]) & docs["mark"].eqNullSafe(other["__mark"]), how)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, mark, text) and, for each that loses something, its runs (start, spans)."""
+    """The documents (doc_id, mark, text) and, for each that loses something, the flat list of its runs' bounds."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     grams = docs.select("text").mapInArrow(_grams, "gram long").groupBy("gram").count().where("count > 1").select("gram")
     grams = cut(grams)
-    small = grams.count() <= SMALL
+    small = grams.count() <= SMALL_IDS
     runs = docs.mapInArrow(_runs, f"doc_id {kind}, mark long, start long, n int, anchor int, gram long, content long")
     runs = runs.join(F.broadcast(grams) if small else grams, "gram", "left_semi")
     folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
@@ -316,7 +325,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     told = parts.repartition(n, "gram").sortWithinPartitions("gram", "content").mapInArrow(_transform, f"gram long, content long, spans {SPANS}")
     told = cut(told.union(whole))
     hits = runs.join(told, ["gram", "content"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
-    return docs, cut(hits)
+    return docs, cut(map_rows(hits, lambda: _merge, f"doc_id {kind}, mark long, runs array<int>"))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
