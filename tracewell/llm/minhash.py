@@ -9,9 +9,10 @@
    deepened to its hubs: the row nearest to the column-wise consensus takes the
    rows close to it, then the next hub among the rest, and so on.
 4. Hub pairs are confirmed on the full sets and joined to components. A second
-   pass over the regions pairs all rows that are close and still in different
-   components, without a cap, and confirms those on the full sets as well. A group
-   of copies thus costs its size and not its square.
+   pass over the regions takes all pairs that are close and still in different
+   components, without a cap, each in the first tree that has it. The members of
+   such pairs bring their full sets to the region, where the pairs are confirmed
+   in blocks. Rows thus grow with the documents, and not with the pairs.
 
 "Close" is five standard deviations below the threshold, so that the estimate
 loses a true pair of a region with probability below 1e-6.
@@ -192,66 +193,131 @@ def hub_pairs(ids: np.ndarray, bytes_: np.ndarray, least: int) -> tuple[np.ndarr
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def cross_pairs(ids: np.ndarray, bytes_: np.ndarray, comps: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Close pairs of different components."""
+def cross_pairs(keys: np.ndarray, tree: int, bytes_: np.ndarray, comps: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of close pairs of different components that share no region of an earlier tree."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     names, counts = np.unique(comps, return_counts=True)
     if len(names) > 1:
-        for i in np.nonzero(comps != names[counts.argmax()])[0]:
-            close = ((bytes_ == bytes_[i]).sum(1) >= least) & (comps != comps[i])
-            left.append(np.full(int(close.sum()), ids[i]))
-            right.append(ids[close])
+        minor = comps != names[counts.argmax()]
+        for i in np.nonzero(minor)[0]:
+            close = np.nonzero(((bytes_ == bytes_[i]).sum(1) >= least) & (comps != comps[i]) & (~minor | (np.arange(len(comps)) > i)))[0]
+            close = close[(keys[close] == keys[i]).argmax(1) == tree]
+            left.append(np.full(len(close), i))
+            right.append(close)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _regions(least: int):
-    """Over rows sorted by region: pairs of each region."""
-
-    def emit(group):
-        ids = np.array([g[0] for g in group], np.int64)
-        bytes_ = np.frombuffer(b"".join([g[1] for g in group]), np.uint8).reshape(len(ids), -1)
-        if group[0][2] is None:
-            return hub_pairs(ids, bytes_.astype(np.int64) if len(ids) > 2 else bytes_, least)
-        return cross_pairs(ids, bytes_, np.array([g[2] for g in group], np.int64), least)
+def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs' sets."""
+    if len(p) <= 16 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(p, q)], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts[column] > 1  # what one document has alone is in no intersection
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rows, at = np.unique(p, return_inverse=True)
+    shared = np.zeros((len(rows), len(sets)), np.float32)
+    for c in range(0, int(column.max(initial=-1)) + 1, 4096):
+        a, z = np.searchsorted(column, [c, c + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:z], column[a:z] - c] = 1
+        shared += part[rows] @ part.T
+    return shared[at, q].astype(np.int64)
+
+
+def _by_region(emit, names):
+    """Run ``emit(tree, rows)`` over each region of rows sorted by (tree, key); it returns arrays or None."""
 
     def run(batches):
-        last, group = None, []
-        left, right = [], []
+        last, group, out = None, [], []
+
+        def flush():
+            if len(group) > 1 and (made := emit(last[0], last[1], group)) is not None:
+                out.append(made)
+
         for b in batches:
-            tree, key, rep, sketch, comp = (c.to_pylist() for c in b.columns)
-            for i in range(len(rep)):
-                region = (tree[i], key[i])
-                if region != last:
-                    if len(group) > 1:
-                        p, q = emit(group)
-                        left.append(p)
-                        right.append(q)
-                    last, group = region, []
-                group.append((rep[i], sketch[i], comp[i]))
-            if left:
-                p, q = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
-                left, right = [], []
-        if len(group) > 1:
-            p, q = emit(group)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+            columns = [c.to_pylist() for c in b.columns[:5]]
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in b.columns[5:]]
+            for i, (tree, key, *rest) in enumerate(zip(*columns)):
+                if (tree, key) != last:
+                    flush()
+                    last, group = (tree, key), []
+                group.append((*rest, *[v[o[i] : o[i + 1]] for v, o in lists]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                out.clear()
+        flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
     return run
 
 
-def _pairs(rows: DataFrame, least: int) -> DataFrame:
+def _bytes(group) -> np.ndarray:
+    return np.frombuffer(b"".join([g[1] for g in group]), np.uint8).reshape(len(group), -1)
+
+
+def _stars(least: int):
+    def emit(tree, key, group):
+        p, q = hub_pairs(np.array([g[0] for g in group], np.int64), _bytes(group).astype(np.int64), least)
+        return (np.minimum(p, q), np.maximum(p, q)) if len(p) else None
+
+    return _by_region(emit, ["a", "b"])
+
+
+def _unsettled(least: int):
+    """The members of a region that have a pair to confirm there."""
+
+    def emit(tree, key, group):
+        p, q = cross_pairs(np.array([g[3] for g in group]), tree, _bytes(group), np.array([g[2] for g in group]), least)
+        some = np.unique(np.concatenate([p, q]))
+        ids = np.array([g[0] for g in group], np.int64)[some]
+        return (np.full(len(ids), tree), np.full(len(ids), key), ids) if len(ids) else None
+
+    return _by_region(emit, ["tree", "key", "rep"])
+
+
+def _settle(least: int, percent: int):
+    """Confirm a region's pairs on the full sets; its links, as a spanning forest."""
+    from .embed import forest
+
+    def emit(tree, key, group):
+        group.sort(key=lambda g: g[0])
+        p, q = cross_pairs(np.array([g[3] for g in group]), tree, _bytes(group), np.array([g[2] for g in group]), least)
+        sets = [g[4] for g in group]
+        size = np.array([len(s) for s in sets])
+        both = shared_counts(sets, p, q)
+        ok = both * 100 >= (size[p] + size[q] - both) * percent
+        root = forest(len(group), p[ok], q[ok])
+        ids = np.array([g[0] for g in group], np.int64)
+        tied = root != np.arange(len(ids))
+        return (ids[root[tied]], ids[tied]) if tied.any() else None
+
+    return _by_region(emit, ["a", "b"])
+
+
+def _placed(rows: DataFrame, *more: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select(F.posexplode("keys").alias("tree", "key"), "rep", "sketch", "comp").select(F.col("tree").cast("long").alias("tree"), "key", "rep", "sketch", "comp")
-    placed = spread.repartition(n, "tree", "key").sortWithinPartitions("tree", "key", "sketch", "rep")
-    return placed.mapInArrow(_regions(least), "a long, b long").distinct()
+    return rows.repartition(n, "tree", "key").sortWithinPartitions("tree", "key", "rep").select("tree", "key", "rep", "sketch", "comp", *more)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _spread(rows: DataFrame) -> DataFrame:
+    """A row for each region of each row."""
+    return rows.select(F.posexplode("keys").alias("tree", "key"), "*").withColumn("tree", F.col("tree").cast("long"))
+
+
+def _full_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(rep, hashes) of all documents in the pairs."""
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     small = ids.count() <= SMALL
     texts = docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["rep"], "left_semi")
-    sets = cut(map_rows(texts.select("doc_id", "text"), _sets(words), "rep long, hashes array<long>"))
+    return cut(map_rows(texts.select("doc_id", "text"), _sets(words), "rep long, hashes array<long>"))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     one = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
@@ -271,14 +337,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     shared = spread.groupBy("tree", "key").count().where("count > 1").select("tree", "key")
     cands = spread.join(shared, ["tree", "key"]).select("rep").distinct()
     rows = cut(reps.join(cands, "rep").select("rep", "keys", "sketch"))
-    none = F.lit(None).cast("long")
-    pairs = cut(_pairs(rows.withColumn("comp", none), least))
-    links = cut(_confirm(docs, pairs, words, percent))
+    stars = _placed(_spread(rows.withColumn("comp", F.lit(None).cast("long"))))
+    pairs = cut(stars.mapInArrow(_stars(least), "a long, b long").distinct())
+    sets = _full_sets(docs, pairs, words)
+    links = cut(_confirm(pairs, sets, percent))
     comps = components(links)
-    again = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(rows, "rep")
-    again = again.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    more = cut(_pairs(again, least).join(pairs, ["a", "b"], "left_anti"))
-    comps = components(links.union(_confirm(docs, more, words, percent)))
+    again = sets.select("rep").distinct().join(rows, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    again = cut(again.select("rep", "keys", "sketch", F.coalesce("component", "rep").alias("comp")))
+    open_ = cut(_placed(_spread(again), "keys").mapInArrow(_unsettled(least), "tree long, key long, rep long"))
+    full = open_.join(again, "rep").join(sets, "rep")
+    more = _placed(full, "keys", "hashes").mapInArrow(_settle(least, percent), "a long, b long")
+    comps = components(links.union(more))
     named = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "rep", "doc_id")
