@@ -28,9 +28,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, words=5).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Rows that share an id are one document, and rows without one are one, too: the
+    smallest of each, by all columns, stays.
+    """
+    gone = minhash.near_duplicates(docs, words=5).where("not kept").select("doc_id").distinct()
+    small = gone.count() <= minhash.SMALL
+    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    # Rows that repeat an id are one document; such ids are few, and the last stages join on them.
+    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return kept.where("doc_id is not null").join(again, "doc_id", "left_anti").unionByName(first)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +53,15 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights; a document taken more than once stands there as often."""
     taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    both = docs.select(*COLUMNS).join(taken, "doc_id")
+    taken = taken.withColumnRenamed("doc_id", "__id")
+    both = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of their decoding."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, limits=(100_000, 120_000))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("private", private), ("mix", mix), ("tokens", tokens)]

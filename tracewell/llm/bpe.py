@@ -33,7 +33,9 @@ from .common import map_rows, read
 
 #: Unicode White_Space, which the pattern's \s means.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
-STATES, PIECES, PAIRS = 300_000, 450_000, 400_000
+PAIRS = 400_000
+#: Most states of a transducer and most pieces in half of its memo. About 700 and 180 bytes each.
+LIMITS = (300_000, 450_000)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,8 +60,8 @@ def merge(ranks: dict[bytes, int], data: bytes, to: int = 1) -> list[bytes]:
 class Transducer:
     """Bytes of one piece in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], states: int = LIMITS[0]):
+        self.ranks, self.limit = ranks, states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -161,7 +163,7 @@ class Transducer:
         return made
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        if len(self.key) > STATES:
+        if len(self.key) > self.limit:
             self.reset()
         step, state, out = self.step, 0, []
         for byte in piece:
@@ -176,9 +178,9 @@ class Transducer:
 class Pieces(dict):
     """Memo from pieces to ids in two generations: when the young one is full it becomes the old one, and what is used again moves back."""
 
-    def __init__(self, fst: Transducer):
+    def __init__(self, fst: Transducer, limit: int):
         super().__init__()
-        self.fst, self.old = fst, {}
+        self.fst, self.old, self.limit = fst, {}, limit
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
@@ -187,7 +189,7 @@ class Pieces(dict):
             whole = self.fst.ranks.get(data)
             ids = self.fst.encode(data) if whole is None else (whole,)
         if len(piece) <= 64:
-            if len(self) >= PIECES:
+            if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -195,10 +197,10 @@ class Pieces(dict):
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limits: tuple[int, int] = LIMITS):
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.fst = Transducer(ranks)
-        self.pieces = Pieces(self.fst)
+        self.fst = Transducer(ranks, limits[0])
+        self.pieces = Pieces(self.fst, limits[1])
         self.decimal = {i: str(i) for i in ranks.values()}
 
     def encode(self, text: str) -> list[int]:
@@ -254,15 +256,15 @@ class StreamDecoder:
         return rest.decode("utf-8", "replace")
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process."""
-    made = _CODECS.get((path, pattern))
-    if made is None:
-        made = _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return made
+def codec(path: str, pattern: str, limits: tuple[int, int] = LIMITS) -> Codec:
+    """One codec per worker process; only the last is kept."""
+    if (path, pattern, limits) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path, pattern, limits] = Codec(load_ranks(path), pattern, limits)
+    return _CODECS[path, pattern, limits]
 
 
 CHUNK = 65_536
@@ -278,11 +280,11 @@ def round_trip(c: Codec, text: str | None) -> tuple[list[int], str, str]:
     return ids, hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest(), digest.hexdigest()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = True, limits: tuple[int, int] = LIMITS) -> DataFrame:
     """One row per row of ``docs``: key, ids (if asked), n_tokens, ids_sha256, decoded_sha256."""
 
     def make():
-        c = codec(path, pattern)
+        c = codec(path, pattern, limits)
 
         def run(columns):
             keys, texts = columns

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: About how much of an Arrow batch is held as Python objects at a time.
+PART_BYTES = 6_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,10 +33,10 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = fn([c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                columns = fn([c.to_pylist() for c in batch.slice(at, rows).columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, target)
 
