@@ -263,18 +263,24 @@ def _fetch(columns):
     return [gram, content, copies, part]
 
 
-def _merge(columns):
-    ids, marks, found = columns
-    out = []
-    for runs in found:
-        flat: list[int] = []
-        for a, b in sorted((r["start"] + s["a"], r["start"] + s["b"]) for r in runs for s in r["spans"]):
-            if flat and a <= flat[-1]:
-                flat[-1] = max(flat[-1], b)
-            else:
-                flat += [a, b]
-        out.append(flat)
-    return [ids, marks, out]
+def _merge(batches):
+    """Runs (start, spans) of each document to the flat list of their union's bounds."""
+    for batch in batches:
+        runs = batch.column(2)
+        spans_ = runs.values.field("spans")
+        size = np.diff(spans_.offsets.to_numpy())
+        doc = np.repeat(np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy())), size)
+        at = np.repeat(runs.values.field("start").to_numpy(), size) + (doc << 40)
+        first = spans_.offsets[0].as_py() if len(spans_) else 0
+        a, b = (at + spans_.values.field(k).to_numpy()[first : first + len(at)] for k in ("a", "b"))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        new = np.nonzero(np.concatenate([[True], a[1:] > b[:-1]]))[0] if len(a) else np.zeros(0, np.int64)
+        ends = np.concatenate([new[1:], [len(a)]]) - 1 if len(new) else new
+        flat = np.stack([a[new], b[ends]], 1)
+        count = np.bincount(flat[:, 0] >> 40, minlength=len(runs))
+        bounds = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * count)]), pa.int32()), pa.array((flat & ((1 << 40) - 1)).ravel(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bounds], ["doc_id", "mark", "runs"])
 
 
 def _cut_out(columns):
@@ -292,10 +298,11 @@ def _cut_out(columns):
     return [ids, *out]
 
 
-def _joined(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Join on the row's identity; the other side has a row with a list for each document."""
+def _joined(docs: DataFrame, other: DataFrame, how: str, most: int = 0) -> DataFrame:
+    """Join on the row's identity; the other side has a row with a list for each document,
+    and is broadcast if the lists have at most ``most`` elements in all."""
     other = other.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
-    small = (other.agg(F.sum(F.size(other.columns[-1]))).first()[0] or 0) <= SMALL
+    small = most > 0 and (other.agg(F.sum(F.size(other.columns[-1]))).first()[0] or 0) <= most
     return docs.join(F.broadcast(other) if small else other, docs["doc_id"].eqNullSafe(other["__id"]) & docs["mark"].eqNullSafe(other["__mark"]), how)
 
 
@@ -325,11 +332,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     told = parts.repartition(n, "gram").sortWithinPartitions("gram", "content").mapInArrow(_transform, f"gram long, content long, spans {SPANS}")
     told = cut(told.union(whole))
     hits = runs.join(told, ["gram", "content"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
-    return docs, cut(map_rows(hits, lambda: _merge, f"doc_id {kind}, mark long, runs array<int>"))
+    return docs, cut(hits.mapInArrow(_merge, f"doc_id {kind}, mark long, runs array<long>"))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, hits = repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = _joined(docs, hits, "left").select("doc_id", "text", "runs")
+    both = _joined(docs, hits, "left", SMALL).select("doc_id", "text", "runs")
     return map_rows(both, lambda: _cut_out, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
