@@ -6,8 +6,8 @@ token never look past its ends, so only a merge across one boundary can break
 a sequence, and that merge shows in the pair alone. The set of encodings is thus
 a 2-testable language over tokens, which a nondeterministic transducer reads
 with (tokens still undecided, place in the token trie). ``Transducer``
-determinises it lazily: a state is the set of live hypotheses, a transition is
-built when first taken, and tokens leave as soon as all hypotheses agree on
+determinises it lazily: a state is the set of live hypotheses (those that some
+token may still complete), a transition is built when first taken, and tokens leave as soon as all hypotheses agree on
 them, which is after at most one longest token of lookahead. States and piece
 memo are bounded: beyond their limits they are dropped and built anew.
 
@@ -33,7 +33,8 @@ from .common import map_rows, read
 
 #: Unicode White_Space, which the pattern's \s means.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
-PAIRS = 400_000
+#: Most remembered pairs; nodes of the trie with fewer tokens below are looked through for ones that may follow.
+PAIRS, FEW = 400_000, 250
 #: Most states of a transducer and most pieces in half of its memo. About 700 and 180 bytes each.
 LIMITS = (300_000, 450_000)
 
@@ -85,8 +86,34 @@ class Transducer:
                     at = nxt
                 self.token[at] = i
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.alive: dict[tuple[int, int], bool] = {}
+        self.below = self._few_below()
         self.reset()
 
+    def _few_below(self) -> list[list[int] | None]:
+        """The tokens strictly below each trie node; None where they are many."""
+        below: list[list[int] | None] = [None] * len(self.child)
+        for node in range(len(self.child) - 1, -1, -1):  # children have higher numbers
+            found: list[int] | None = []
+            for to in self.child[node].values():
+                if found is not None and below[to] is not None and len(found) + len(below[to]) < FEW:
+                    found += below[to] + ([self.token[to]] if self.token[to] >= 0 else [])
+                else:
+                    found = None
+            below[node] = found
+        return below
+
+    def may_go_on(self, before: int, node: int) -> bool:
+        """Whether a token below the node may follow; yes, where looking would take long."""
+        if before < 0 or self.below[node] is None:
+            return True
+        known = self.alive.get((before, node))
+        if known is None:
+            if len(self.alive) >= PAIRS:
+                self.alive.clear()
+            known = self.alive[before, node] = any(self._fits(before, t) for t in self.below[node])
+        return known
+
     def reset(self) -> None:
         start = (-1, (((), 0),))
         self.key: list[tuple] = [start]
@@ -138,11 +165,11 @@ class Transducer:
             to = child[node].get(byte)
             if to is None:
                 continue
-            if child[to]:
+            before = pending[-1] if pending else last
+            if child[to] and self.may_go_on(before, to):
                 nxt.append((pending, to))
             t = self.token[to]
             if t >= 0 and done is None:  # the prefix has one encoding
-                before = pending[-1] if pending else last
                 if before < 0 or self.fits(before, t):
                     done = (*pending, t)
         nxt.append((done, 0))
