@@ -37,11 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small = gone.count() <= minhash.SMALL
     kept = docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
     # Rows that repeat an id are one document; such ids are few, and the last stages join on them.
-    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
     if again.isEmpty():
         return kept
-    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
-    return kept.where("doc_id is not null").join(again, "doc_id", "left_anti").unionByName(first)
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    first = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return kept.join(again, same, "left_anti").unionByName(first)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

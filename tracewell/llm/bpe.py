@@ -29,7 +29,7 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, read
+from .common import hold, map_rows, read
 
 #: Unicode White_Space, which the pattern's \s means.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -290,6 +290,7 @@ def codec(path: str, pattern: str, limits: tuple[int, int] = LIMITS) -> Codec:
     """One codec per worker process; only the last is kept."""
     if (path, pattern, limits) not in _CODECS:
         _CODECS.clear()
+        hold(__name__, _CODECS.clear)
         _CODECS[path, pattern, limits] = Codec(load_ranks(path), pattern, limits)
     return _CODECS[path, pattern, limits]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,8 +32,10 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     """
     target = StructType.fromDDL(schema)
     arrow = to_arrow_schema(target)
+    owner = make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(owner)
         fn = make()
         for batch in batches:
             rows = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
@@ -41,6 +46,25 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     return df.mapInArrow(run, target)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """Tell that ``owner`` works in this process now; ``drop`` frees what it keeps between tasks.
+
+    A worker process serves one operator after the other, so what the others keep goes.
+    """
+    others = [k for k in _HELD if k != owner]
+    for k in others:
+        _HELD.pop(k)()
+    if drop is not None:
+        _HELD[owner] = drop
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # give free pages back, where the C library can
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder.
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, read
+from .common import hold, map_rows, read
 
 SEGMENT = 512
 UNKNOWN = "und"
@@ -95,19 +95,19 @@ class Model:
         for lang in self.langs:
             seq = [GAP, *self.classes(lowered[lang]).tolist()]
             nxt = automaton(seq)
-            table = np.zeros((len(nxt), self.width), np.int64)
+            first = nxt[0]
+            root = np.array([base + first[c] * self.width if c in first else base + (1 << self.BITS) for c in range(self.width)], np.int32)
+            table = np.repeat(root[None] + np.int32(1 << self.BITS), len(nxt), 0)  # a missing letter ends a phrase and begins at the root
+            table[0] = root
             for s, edges in enumerate(nxt):
                 for c, to in edges.items():
                     table[s, c] = base + to * self.width
-            known = table > 0
-            root = np.where(known[0], table[0], base + (1 << self.BITS))
-            missing = root + ((np.arange(len(nxt)) > 0).astype(np.int64) << self.BITS)[:, None]
-            table = np.where(known, table, missing)
             table[:, PAD] = base + np.arange(len(nxt)) * self.width
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             self.roots.append(base)
             self.logs.append(math.log2(max(2, len(seq))))
             base += len(nxt) * self.width
+            del nxt
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
 
     def classes(self, lowered: str) -> np.ndarray:
@@ -175,6 +175,7 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
     """One model per worker process; only the last is kept."""
     if samples not in _MODELS:
         _MODELS.clear()
+        hold(__name__, _MODELS.clear)
         _MODELS[samples] = Model(dict(samples))
     return _MODELS[samples]
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, read
+from .common import cut, hold, map_rows, read
 from .graph import components
 
 TREES, DEPTH = 24, 4
@@ -231,6 +231,7 @@ def _by_region(emit, names):
     """Run ``emit(tree, rows)`` over each region of rows sorted by (tree, key); it returns arrays or None."""
 
     def run(batches):
+        hold(__name__)
         last, group, out = None, [], []
 
         def flush():

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, read, shared_folder
+from .common import cut, hold, map_rows, read, shared_folder
 from .minhash import _INVERSE, _POWER, _draws, _mix
 
 LENGTH, GRAM = 200, 100
@@ -90,6 +90,7 @@ def segments(data: bytes):
 
 
 def _grams(batches):
+    hold(__name__)
     for b in batches:
         found = [s[3] for t in b.column(0).to_pylist() if t for s in segments(t.encode())]
         if found:
@@ -97,6 +98,7 @@ def _grams(batches):
 
 
 def _runs(batches):
+    hold(__name__)
     for b in batches:
         ids, marks, texts = b.column(0), b.column(1), b.column(2).to_pylist()
         row, parts = [], []
