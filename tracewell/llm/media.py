@@ -84,7 +84,7 @@ def parse(media: bytes) -> tuple[int, int, int, bytes]:
     at, head = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 24 <= len(media):
             head = struct.unpack_from("<HHIIHH", media, at + 8)
         if name == b"data" and head:
             return head[0], head[2], head[4], media[at + 8 : at + 8 + size]
