@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import columns as C
+from ..functions import parse as P
 from ..functions.shell import Rules
 from ..operators import denials as D
 from ..operators import hygiene as H
@@ -227,10 +229,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _broken(raw: Column) -> Column:
-    import pandas as pd
-
-    from ..functions import parse as P
-
     @F.pandas_udf("boolean")
     def of(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: P.load(r) is None)
