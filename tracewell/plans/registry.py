@@ -278,7 +278,7 @@ def negative_facts(spark, d):
     return mining.negative_facts(calls(spark, d)).select("sample_output", "sessions", "first_seen", "last_seen")
 
 
-@query(f"""WITH {CALLS}, f AS (SELECT *, coalesce(result_text, '') AS result, row_number() OVER (PARTITION BY input_summary, session_id ORDER BY ts, file_path, seq, tool_use_id) AS n FROM tool_calls WHERE tool_name = 'Bash' AND NOT is_sidechain),
+@query(f"""WITH {CALLS}, f AS (SELECT *, coalesce(rtrim(result_text), '') AS result, row_number() OVER (PARTITION BY input_summary, session_id ORDER BY ts, file_path, seq, tool_use_id) AS n FROM tool_calls WHERE tool_name = 'Bash' AND NOT is_sidechain),
 g AS (SELECT input_summary, result, count(*) AS c, min(ts) AS t FROM f WHERE n = 1 GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY input_summary ORDER BY c DESC, t) AS r, sum(c) OVER (PARTITION BY input_summary) AS s FROM g)
 SELECT input_summary AS command, CAST(s AS BIGINT) AS sessions, CAST(c / s AS DOUBLE) AS stability, result AS sample_output FROM m WHERE r = 1 AND s >= 3 AND c / s >= 0.1 AND result <> ''""")
 def stable_outputs(spark, d):
