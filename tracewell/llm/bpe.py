@@ -33,9 +33,9 @@ from .common import hold, map_rows, read
 
 #: Unicode White_Space, which the pattern's \s means.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
-#: Most remembered pairs; nodes of the trie with fewer tokens below are looked through for ones that may follow.
-PAIRS, FEW = 400_000, 250
-#: Most states of a transducer and most pieces in half of its memo. About 700 and 180 bytes each.
+#: Nodes of the trie with fewer tokens below are looked through for ones that may follow.
+FEW = 250
+#: Most states of a transducer (and remembered pairs of tokens), and most pieces in half of its memo. About 900 and 180 bytes each.
 LIMITS = (300_000, 450_000)
 
 
@@ -109,7 +109,7 @@ class Transducer:
             return True
         known = self.alive.get((before, node))
         if known is None:
-            if len(self.alive) >= PAIRS:
+            if len(self.alive) >= self.limit:
                 self.alive.clear()
             known = self.alive[before, node] = any(self._fits(before, t) for t in self.below[node])
         return known
@@ -124,7 +124,7 @@ class Transducer:
     def fits(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.limit:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._fits(a, b)
         return known

@@ -33,6 +33,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     target = StructType.fromDDL(schema)
     arrow = to_arrow_schema(target)
     owner = make.__module__
+    batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(owner)
@@ -46,6 +47,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     return df.mapInArrow(run, target)
 
 
+def batches(spark: SparkSession) -> None:
+    """Rows may hold whole texts, so Arrow batches are kept to 1,000 of them, unless the session asks for another number than Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 
