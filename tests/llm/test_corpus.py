@@ -91,7 +91,10 @@ def run_repeats(spark, tmp_path, texts, ids=None):
     return suffixdedup.op6_repeats(spark, folder).collect()
 
 
-def test_repeats_against_counting(spark, tmp_path):
+@pytest.mark.parametrize("group", [1024, 2])
+def test_repeats_against_counting(spark, tmp_path, monkeypatch, group):
+    """Also with the way for large groups."""
+    monkeypatch.setattr(suffixdedup, "GROUP", group)
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdéß ") for _ in range(r.randrange(2, 9)))
     passage = [" ".join(word() for _ in range(60)) for _ in range(4)]
@@ -103,6 +106,14 @@ def test_repeats_against_counting(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
 
 
+def test_repeats_of_repeated_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "GROUP", 1)
+    p = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(150))
+    texts = [p[:260], p[:260], "0" + p[30:270], "1" + p[60:260] + "z"]
+    got = run_repeats(spark, tmp_path, texts, [1, 1, 2, 3])
+    assert sorted(tuple(x)[1:] for x in got) == sorted(plain_repeats(texts))
+
+
 def test_repeats_without_keys(spark, tmp_path):
     p = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(150))
     got = run_repeats(spark, tmp_path, [p, p, "other", None], [None, None, None, None])
@@ -191,8 +202,10 @@ def test_near_duplicates_against_all_pairs(spark, words):
     assert [got[i]["kept"] for i in range(len(texts))] == [i == c for i, c in enumerate(want)]
 
 
-def test_a_large_group_around_a_hub(spark):
-    """Copies that are near the hub and not each other, with outliers between, make one component."""
+@pytest.mark.parametrize("block", [1024, 40])
+def test_a_large_group_around_a_hub(spark, monkeypatch, block):
+    """Copies that are near the hub and not each other, with outliers between, also when their regions are dealt over blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(11)
     base = [f"w{r.randrange(10**6)}" for _ in range(100)]
     texts = [" ".join(base)]

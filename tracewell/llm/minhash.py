@@ -12,7 +12,8 @@
    pass over the regions takes all pairs that are close and still in different
    components, without a cap, each in the first tree that has it. The members of
    such pairs bring their full sets to the region, where the pairs are confirmed
-   in blocks. Rows thus grow with the documents, and not with the pairs.
+   in blocks. Rows thus grow with the documents, and not with the pairs. Regions
+   of more than ``BLOCK`` rows are dealt over several tasks in both passes.
 
 "Close" is five standard deviations below the threshold, so that the estimate
 loses a true pair of a region with probability below 1e-6.
@@ -39,6 +40,8 @@ from .graph import components
 
 TREES, DEPTH = 24, 4
 COLUMNS = TREES * DEPTH
+#: Rows of a region that one task compares with each other, and hubs that a larger region shows to all its blocks.
+BLOCK, HUBS = 1024, 16
 #: Ids of candidates that may be broadcast (8 bytes each); beyond it the texts are shuffled to them.
 SMALL = 2_000_000
 
@@ -171,16 +174,28 @@ def _sets(words: int):
     return make
 
 
-def hub_pairs(ids: np.ndarray, bytes_: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hub and member of each close pair with a hub."""
+def consensus(bytes_: np.ndarray) -> np.ndarray:
+    """How many columns of each row hold the column's most frequent byte."""
+    wide = bytes_.astype(np.int64)
+    counts = np.bincount((wide + np.arange(wide.shape[1]) * 256).ravel(), minlength=256 * wide.shape[1]).reshape(-1, 256)
+    return (wide == counts.argmax(1)).sum(1)
+
+
+def hub_pairs(ids: np.ndarray, bytes_: np.ndarray, least: int, hubs: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hub and member of each close pair with a hub: the nearest of the given hubs, and else of the rows' own."""
     left, right, rest = [], [], np.arange(len(ids))
+    if hubs:
+        known = np.array([h["rep"] for h in hubs])
+        near = np.stack([(bytes_ == np.frombuffer(h["sketch"], np.uint8)).sum(1) for h in hubs])
+        best = near.argmax(0)
+        close = near.max(0) >= least
+        mine = close & (known[best] != ids)
+        left.append(known[best][mine])
+        right.append(ids[mine])
+        rest = np.nonzero(~close)[0]
     while len(rest) > 1:
         s = bytes_[rest]
-        if len(rest) > 2:
-            counts = np.bincount((s + np.arange(s.shape[1]) * 256).ravel(), minlength=256 * s.shape[1]).reshape(-1, 256)
-            score = (s == counts.argmax(1)).sum(1)
-        else:
-            score = np.zeros(len(rest), np.int64)
+        score = consensus(s) if len(rest) > 2 else np.zeros(len(rest), np.int64)
         hub = int(np.lexsort((ids[rest], -score))[0])
         close = (s == s[hub]).sum(1) >= least
         close[hub] = True
@@ -193,17 +208,17 @@ def hub_pairs(ids: np.ndarray, bytes_: np.ndarray, least: int) -> tuple[np.ndarr
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def cross_pairs(keys: np.ndarray, tree: int, bytes_: np.ndarray, comps: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of close pairs of different components that share no region of an earlier tree."""
+def cross_pairs(ids: np.ndarray, bytes_: np.ndarray, comps: np.ndarray, minor: np.ndarray, asks: np.ndarray, keys: np.ndarray, tree: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of close pairs of different components that share no region of an earlier tree.
+
+    Rows that ask (of minor components) meet those that answer; two of minor components meet once.
+    """
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    names, counts = np.unique(comps, return_counts=True)
-    if len(names) > 1:
-        minor = comps != names[counts.argmax()]
-        for i in np.nonzero(minor)[0]:
-            close = np.nonzero(((bytes_ == bytes_[i]).sum(1) >= least) & (comps != comps[i]) & (~minor | (np.arange(len(comps)) > i)))[0]
-            close = close[(keys[close] == keys[i]).argmax(1) == tree]
-            left.append(np.full(len(close), i))
-            right.append(close)
+    for i in np.nonzero(asks)[0]:
+        close = np.nonzero(((bytes_ == bytes_[i]).sum(1) >= least) & (comps != comps[i]) & ~asks & (~minor | (ids > ids[i])))[0]
+        close = close[(keys[close] == keys[i]).argmax(1) == tree]
+        left.append(np.full(len(close), i))
+        right.append(close)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -227,25 +242,27 @@ def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.nd
     return shared[at, q].astype(np.int64)
 
 
-def _by_region(emit, names):
-    """Run ``emit(tree, rows)`` over each region of rows sorted by (tree, key); it returns arrays or None."""
+def _grouped(emit, names, keys: int, plain: int):
+    """Run ``emit(key, rows)`` over groups of rows sorted by their first ``keys`` columns; it returns
+    arrays or None. ``plain`` columns follow as Python values, all others as arrays of numbers."""
 
     def run(batches):
         hold(__name__)
         last, group, out = None, [], []
 
         def flush():
-            if len(group) > 1 and (made := emit(last[0], last[1], group)) is not None:
+            if len(group) > 1 and (made := emit(last, group)) is not None:
                 out.append(made)
 
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns[:5]]
-            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in b.columns[5:]]
-            for i, (tree, key, *rest) in enumerate(zip(*columns)):
-                if (tree, key) != last:
+            heads = list(zip(*[c.to_pylist() for c in b.columns[:keys]]))
+            values = list(zip(*[c.to_pylist() for c in b.columns[keys : keys + plain]]))
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in b.columns[keys + plain :]]
+            for i, (head, row) in enumerate(zip(heads, values)):
+                if head != last:
                     flush()
-                    last, group = (tree, key), []
-                group.append((*rest, *[v[o[i] : o[i + 1]] for v, o in lists]))
+                    last, group = head, []
+                group.append((*row, *[v[o[i] : o[i + 1]] for v, o in lists]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
                 out.clear()
@@ -260,48 +277,70 @@ def _bytes(group) -> np.ndarray:
     return np.frombuffer(b"".join([g[1] for g in group]), np.uint8).reshape(len(group), -1)
 
 
+def _column(group, n: int, kind=np.int64) -> np.ndarray:
+    return np.array([g[n] for g in group], kind)
+
+
+def _propose():
+    """The row nearest to its block's consensus, and how near it is."""
+
+    def emit(key, group):
+        score, ids = consensus(_bytes(group)), _column(group, 0)
+        best = int(np.lexsort((ids, -score))[0])
+        return tuple(np.array([x]) for x in (*key[:2], ids[best], score[best]))
+
+    return _grouped(emit, ["tree", "key", "rep", "score"], 3, 2)
+
+
 def _stars(least: int):
-    def emit(tree, key, group):
-        p, q = hub_pairs(np.array([g[0] for g in group], np.int64), _bytes(group).astype(np.int64), least)
+    def emit(key, group):
+        p, q = hub_pairs(_column(group, 0), _bytes(group), least, group[0][2])
         return (np.minimum(p, q), np.maximum(p, q)) if len(p) else None
 
-    return _by_region(emit, ["a", "b"])
+    return _grouped(emit, ["a", "b"], 3, 3)
+
+
+def _cross(key, group, least: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, comps, minor, asks = (_column(group, n, k) for n, k in ((0, np.int64), (2, np.int64), (3, bool), (4, bool)))
+    return cross_pairs(ids, _bytes(group), comps, minor, asks, np.array([g[5] for g in group]), key[0], least)
+
+
+PLACE = ("tree", "key", "askers", "block")
 
 
 def _unsettled(least: int):
-    """The members of a region that have a pair to confirm there."""
+    """The rows of a block that have a pair to confirm there."""
 
-    def emit(tree, key, group):
-        p, q = cross_pairs(np.array([g[3] for g in group]), tree, _bytes(group), np.array([g[2] for g in group]), least)
-        some = np.unique(np.concatenate([p, q]))
-        ids = np.array([g[0] for g in group], np.int64)[some]
-        return (np.full(len(ids), tree), np.full(len(ids), key), ids) if len(ids) else None
+    def emit(key, group):
+        some = np.unique(np.concatenate(_cross(key, group, least)))
+        if not len(some):
+            return None
+        return (*[np.full(len(some), k) for k in key], _column(group, 0)[some], _column(group, 4, bool)[some])
 
-    return _by_region(emit, ["tree", "key", "rep"])
+    return _grouped(emit, [*PLACE, "rep", "asks"], 4, 5)
 
 
 def _settle(least: int, percent: int):
-    """Confirm a region's pairs on the full sets; its links, as a spanning forest."""
+    """Confirm a block's pairs on the full sets; its links, as a spanning forest."""
     from .embed import forest
 
-    def emit(tree, key, group):
+    def emit(key, group):
         group.sort(key=lambda g: g[0])
-        p, q = cross_pairs(np.array([g[3] for g in group]), tree, _bytes(group), np.array([g[2] for g in group]), least)
-        sets = [g[4] for g in group]
+        p, q = _cross(key, group, least)
+        sets = [g[6] for g in group]
         size = np.array([len(s) for s in sets])
         both = shared_counts(sets, p, q)
         ok = both * 100 >= (size[p] + size[q] - both) * percent
-        root = forest(len(group), p[ok], q[ok])
-        ids = np.array([g[0] for g in group], np.int64)
+        root, ids = forest(len(group), p[ok], q[ok]), _column(group, 0)
         tied = root != np.arange(len(ids))
         return (ids[root[tied]], ids[tied]) if tied.any() else None
 
-    return _by_region(emit, ["a", "b"])
+    return _grouped(emit, ["a", "b"], 4, 5)
 
 
-def _placed(rows: DataFrame, *more: str) -> DataFrame:
+def _placed(rows: DataFrame, by: tuple[str, ...], *columns: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "tree", "key").sortWithinPartitions("tree", "key", "rep").select("tree", "key", "rep", "sketch", "comp", *more)
+    return rows.repartition(n, *by).sortWithinPartitions(*by, "rep").select(*by, *columns)
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -309,6 +348,48 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.select(F.posexplode("keys").alias("tree", "key"), "*").withColumn("tree", F.col("tree").cast("long"))
 
 
+def _maybe_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Marked for broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _star_pairs(rows: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """Pairs of hubs with rows close to them.
+
+    A region of more than ``BLOCK`` rows is dealt into blocks. Each block proposes
+    its row nearest to the consensus; the best ``HUBS`` proposals of a region are
+    shown to all its blocks, so that a group around one document finds it.
+    """
+    large = cut(sizes.where(F.col("n") > BLOCK).select("tree", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    spread = _spread(rows).join(_maybe_small(large), ["tree", "key"], "left")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1)))).select("tree", "key", "block", "blocks", "rep", "sketch")
+    by = ("tree", "key", "block")
+    proposed = _placed(spread.where("blocks is not null"), by, "rep", "sketch").mapInArrow(_propose(), "tree long, key long, rep long, score long")
+    named = proposed.join(rows.select("rep", "sketch"), "rep")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "rep", "sketch"))), 1, HUBS)
+    hubs = cut(named.groupBy("tree", "key").agg(F.transform(best, lambda h: F.struct(h["rep"].alias("rep"), h["sketch"].alias("sketch"))).alias("hubs")))
+    shown = spread.join(_maybe_small(hubs), ["tree", "key"], "left")
+    return _placed(shown, by, "rep", "sketch", "hubs").mapInArrow(_stars(least), "a long, b long").distinct()
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Rows of regions that hold several components, dealt so that those of minor components meet all.
+
+    The largest component of a region is the major one. Rows lie in blocks of about
+    ``BLOCK``; the minor ones also come to every block, again ``BLOCK`` at a time.
+    """
+    spread = _spread(rows)
+    parts = spread.groupBy("tree", "key", "comp").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("tree", "key").agg(F.max(F.struct("c", (-F.col("comp")).alias("m"))).alias("top"), F.sum("c").alias("n")).where("n > top.c")
+    mixed = mixed.select("tree", "key", (-F.col("top.m")).alias("major"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).alias("groups"))
+    both = spread.join(mixed, ["tree", "key"]).withColumn("minor", F.col("comp") != F.col("major"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    answer = both.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("askers", every("groups")).withColumn("asks", F.lit(False))
+    ask = both.where("minor").withColumn("askers", F.pmod(F.xxhash64(F.lit("asks"), "rep"), F.col("groups"))).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    own = (*PLACE, "rep", "sketch", "comp", "minor", "asks", "keys")
+    return answer.select(*own).unionByName(ask.select(*own))
+
+
 def _full_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(rep, hashes) of all documents in the pairs."""
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
@@ -334,20 +415,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     seen = cut(map_rows(docs, _sketch(words), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"))
     reps = seen.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("keys", "sketch"), F.col("doc_id")).alias("s"), F.min("doc_id").alias("rep"))
     reps = cut(reps.select("digest", "rep", "s.keys", "s.sketch").where("rep is not null"))
-    spread = reps.select(F.posexplode("keys").alias("tree", "key"), "rep")
-    shared = spread.groupBy("tree", "key").count().where("count > 1").select("tree", "key")
-    cands = spread.join(shared, ["tree", "key"]).select("rep").distinct()
+    spread = reps.select(F.posexplode("keys").alias("tree", "key"), "rep").withColumn("tree", F.col("tree").cast("long"))
+    sizes = cut(spread.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    cands = spread.join(sizes.select("tree", "key"), ["tree", "key"]).select("rep").distinct()
     rows = cut(reps.join(cands, "rep").select("rep", "keys", "sketch"))
-    stars = _placed(_spread(rows.withColumn("comp", F.lit(None).cast("long"))))
-    pairs = cut(stars.mapInArrow(_stars(least), "a long, b long").distinct())
+    pairs = cut(_star_pairs(rows, sizes, least))
     sets = _full_sets(docs, pairs, words)
     links = cut(_confirm(pairs, sets, percent))
     comps = components(links)
     again = sets.select("rep").distinct().join(rows, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     again = cut(again.select("rep", "keys", "sketch", F.coalesce("component", "rep").alias("comp")))
-    open_ = cut(_placed(_spread(again), "keys").mapInArrow(_unsettled(least), "tree long, key long, rep long"))
-    full = open_.join(again, "rep").join(sets, "rep")
-    more = _placed(full, "keys", "hashes").mapInArrow(_settle(least, percent), "a long, b long")
+    columns = ("rep", "sketch", "comp", "minor", "asks", "keys")
+    meet = cut(_meetings(again))
+    open_ = cut(_placed(meet, PLACE, *columns).mapInArrow(_unsettled(least), "tree long, key long, askers long, block long, rep long, asks boolean"))
+    full = meet.join(open_, [*PLACE, "rep", "asks"], "left_semi").join(sets, "rep")
+    more = _placed(full, PLACE, *columns, "hashes").mapInArrow(_settle(least, percent), "a long, b long")
     comps = components(links.union(more))
     named = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     out = seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
