@@ -14,6 +14,9 @@ A byte goes if a 200-byte string over it also starts elsewhere in the corpus.
    both neighbours are derived from those of the round before. The gram that all
    segments of a group share counts as one symbol, so 200 bytes are 101 symbols.
    Suffixes that share 101 symbols, in one group, are repeated windows.
+   Groups of more than ``GROUP`` contents are first cut into pieces and dealt by
+   the text around the gram, and at the edges of passages, where pieces still
+   share all that, their windows are counted one by one.
 4. Repeated windows go back to the documents that hold their segments.
 
 The string, the order and the common prefixes are rewritten front to back in each
@@ -44,6 +47,8 @@ SPAN, BATCH = 1 << 19, 3_000_000
 #: List elements and single numbers that may be broadcast, by their counted number; beyond it both sides are shuffled.
 SMALL, SMALL_IDS = 500_000, 2_000_000
 ANCHOR = 0xFF  # no byte of UTF-8
+#: Contents of a group that one task transforms; larger groups are dealt by the text around the gram, ``PIECE`` windows at a time.
+GROUP, PIECE = 1024, 16
 
 _U = np.uint64
 _VALUE = _draws(256, 11)
@@ -265,6 +270,63 @@ def _fetch(columns):
     return [gram, content, copies, part]
 
 
+def _key(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _pieces(columns):
+    """Segments of large groups in pieces of windows that lie alike to the gram.
+
+    What all windows of a piece share, around the gram, becomes part of the group:
+    windows that differ there can't be equal.
+    """
+    out = [[] for _ in range(7)]
+    for gram, content, copies, part in zip(*_fetch(columns)):
+        anchor, n = part.index(ANCHOR), len(part) - WINDOW + 1
+        for k in range((anchor - n + 1) // PIECE, anchor // PIECE + 1):
+            last = anchor - PIECE * k
+            a, z = max(0, last - PIECE + 1), min(n - 1, last)
+            if a <= z:
+                piece, core = part[a : z + WINDOW], part[last : last + WINDOW - PIECE + 1]
+                row = (_key(gram.to_bytes(8, "little", signed=True), bytes([k]), core), _key(piece), copies, piece, gram, content, a)
+                for column, value in zip(out, row):
+                    column.append(value)
+    return out
+
+
+def _singles(columns):
+    """A row for each window of a piece: group, item, place, copies and 128 bits of its hash."""
+    out = [[] for _ in range(6)]
+    for group, item, copies, piece in zip(*columns):
+        for i in range(len(piece) - WINDOW + 1):
+            w = piece[i : i + WINDOW]
+            for column, value in zip(out, (group, item, i, copies, _key(b"1", w), _key(b"2", w))):
+                column.append(value)
+    return out
+
+
+def _large_groups(parts: DataFrame) -> DataFrame:
+    """(gram, content, spans) of the segments that ``_pieces`` cut; the same work, on smaller groups.
+
+    Equal pieces fold. Groups of pieces that are still large are those cut by the
+    edge of a passage; their windows are counted one by one.
+    """
+    parts = cut(parts.dropDuplicates(["gram", "content", "at"]))  # repeated rows are fetched as often as they stand there
+    folded = parts.groupBy("group", "item").agg(F.sum("copies").alias("copies"), F.first("part").alias("part"))
+    folded = cut(folded.join(folded.groupBy("group").agg(F.count("*").alias("size")), "group"))
+    windows = F.octet_length("part") - (WINDOW - 1)
+    alone = folded.where("size = 1 and copies > 1").select("group", "item", F.array(F.struct(F.lit(0).alias("a"), (windows + LENGTH - 1).cast("int").alias("b"))).cast(SPANS).alias("spans"))
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = folded.where((F.col("size") > 1) & (F.col("size") <= GROUP)).select("group", "item", "copies", "part")
+    some = some.repartition(n, "group").sortWithinPartitions("group", "item").mapInArrow(_transform, f"gram long, content long, spans {SPANS}").toDF("group", "item", "spans")
+    single = cut(map_rows(folded.where(F.col("size") > GROUP).select("group", "item", "copies", "part"), lambda: _singles, "group long, item long, at int, copies long, one long, two long"))
+    many = single.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
+    found = single.join(many, ["one", "two"], "left_semi").groupBy("group", "item").agg(F.transform(F.array_sort(F.collect_list("at")), lambda i: F.struct(i.alias("a"), (i + LENGTH).alias("b"))).cast(SPANS).alias("spans"))
+    told = alone.unionByName(some).unionByName(found)
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
+    return parts.select("group", "item", "gram", "content", "at").join(told, ["group", "item"]).select("gram", "content", moved.cast(SPANS).alias("spans"))
+
+
 def _merge(batches):
     """Runs (start, spans) of each document to the flat list of their union's bounds."""
     for batch in batches:
@@ -324,15 +386,19 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     place = F.struct("doc_id", "mark", "start", "n", "anchor")
     folded = runs.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(place).alias("one"))
     folded = cut(folded.select("gram", "content", "copies", "one.*"))
-    several = folded.groupBy("gram").count().where("count > 1").select("gram")
-    open_ = folded.join(several, "gram", "left_semi")
+    several = cut(folded.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"))
+    open_ = folded.join(several, "gram")
     whole = folded.where("copies > 1").join(several, "gram", "left_anti")
     whole = whole.select("gram", "content", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + LENGTH - 1).cast("int").alias("b"))).cast(SPANS).alias("spans"))
-    want = cut(open_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "content", "copies", "start", "n", "anchor")).alias("want")))
-    parts = map_rows(_joined(docs, want, "inner").select("want", "text"), lambda: _fetch, "gram long, content long, copies long, part binary")
+    item = F.struct("gram", "content", "copies", "start", "n", "anchor")
+    listed = lambda large: F.collect_list(F.when((F.col("size") > GROUP) == F.lit(large), item))
+    want = cut(open_.groupBy("doc_id", "mark").agg(listed(False).alias("want"), listed(True).alias("large")))
+    texts = lambda c: _joined(docs, want.where(F.size(c) > 0).select("doc_id", "mark", c), "inner", SMALL if c == "large" else 0).select(c, "text")
+    parts = map_rows(texts("want"), lambda: _fetch, "gram long, content long, copies long, part binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = parts.repartition(n, "gram").sortWithinPartitions("gram", "content").mapInArrow(_transform, f"gram long, content long, spans {SPANS}")
-    told = cut(told.union(whole))
+    pieces = map_rows(texts("large"), lambda: _pieces, "group long, item long, copies long, part binary, gram long, content long, at int")
+    told = cut(told.union(whole).union(_large_groups(pieces)))
     hits = runs.join(told, ["gram", "content"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
     return docs, cut(hits.mapInArrow(_merge, f"doc_id {kind}, mark long, runs array<long>"))
 
