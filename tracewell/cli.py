@@ -147,10 +147,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--zone")
     c.add_argument("--themes", type=count, default=10)
     c.add_argument("--owners", nargs="*")
+    c.add_argument("--gh", action="store_true")
     c = command("pending", True)
     c.add_argument("--owner")
     c.add_argument("--repo", type=repo)
     c.add_argument("--all", action="store_true", dest="every")
+    c.add_argument("--gh", action="store_true")
     command("hygiene", True)
     c = command("compare-periods")
     c.add_argument("--baseline", type=period, required=True)
@@ -205,11 +207,11 @@ def run(engine: Engine, a: argparse.Namespace, out) -> int:
     elif name == "memory-authors":
         report(engine.memory_authors(a.dirs, **span, model=a.model), a.format, out)
     elif name == "review":
-        report({k: v for k, v in engine.review(**span, bucket=a.bucket, zone=a.zone, themes=a.themes, owners=a.owners).items() if v is not None}, a.format, out)
+        report({k: v for k, v in engine.review(**span, bucket=a.bucket, zone=a.zone, themes=a.themes, owners=a.owners, gh=a.gh).items() if v is not None}, a.format, out)
     elif name == "pending":
         from .operators.pending import counts
 
-        got = engine.pending(**span, owner=a.owner, repo=a.repo, every=a.every)
+        got = engine.pending(a.gh, **span, owner=a.owner, repo=a.repo, every=a.every)
         report({"items": got, "counts": counts(got)}, a.format, out)
     elif name == "hygiene":
         report(engine.hygiene(**span), a.format, out)

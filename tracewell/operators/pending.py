@@ -69,18 +69,19 @@ def status(references: Column) -> Column:
     )
 
 
-def pending_items(events: DataFrame, sessions: DataFrame, owner: str | None = None, repo: tuple[str, str] | None = None, since=None, until=None, every: bool = False, states: DataFrame | None = None) -> DataFrame:
+def pending_items(events: DataFrame, sessions: DataFrame, owner: str | None = None, repo: tuple[str, str] | None = None, since=None, until=None, every: bool = False, states: DataFrame | None = None, names_of: list[str] | None = None) -> DataFrame:
     """One row for each item: where it stands, its text, whether deferred, references and status.
 
     Repositories are learned from all summaries, whatever the window; there are as
     many as people named, and they come to the driver. ``states(owner, repo, number,
-    state)`` answers for references that were looked up.
+    state)`` answers for references that were looked up; ``names_of`` are the owner's
+    repositories, where they are known from elsewhere.
     """
     all_ = summaries(events, sessions, True)
     known = repositories(all_)
     names = known.collect()
     who = owner or max(((sum(r["owner"] == o for r in names), o) for o in {r["owner"] for r in names}), default=(0, None))[1]
-    repos = sorted({r["repo"] for r in names})
+    repos = sorted({r["repo"] for r in names}) if names_of is None else names_of
 
     @F.pandas_udf(REFERENCES)
     def refs(texts: pd.Series) -> pd.Series:
@@ -98,6 +99,12 @@ def pending_items(events: DataFrame, sessions: DataFrame, owner: str | None = No
     return out.withColumn("status", status(F.col("references"))).orderBy(F.desc_nulls_last("ts"), F.desc("file_path"), "seq", "position")
 
 
+def asked(items: DataFrame) -> list[tuple[str, str, int]]:
+    """Resolved references, each once: what there is to look up, a command for each."""
+    rows = items.select(F.explode("references").alias("r")).where("r.owner is not null").select("r.owner", "r.repo", "r.number").distinct()
+    return [tuple(r) for r in rows.collect()]
+
+
 def counts(items: DataFrame) -> DataFrame:
     """(status, items) of all five statuses."""
     names = items.sparkSession.createDataFrame(list(enumerate(R.STATUSES)), "position int, status string")

@@ -104,6 +104,22 @@ def outputs(apps: DataFrame, owners: list[str], since=None, until=None) -> DataF
     return out.orderBy("first_seen", "url", "__id").drop("__id")
 
 
+def confirm(outputs_: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """Outputs with what was looked up: ``confirmed`` if first seen from two minutes before to ten after it was
+    made, ``outside`` if later, ``unknown`` with an error if earlier or not known, ``unchecked`` for documents."""
+    own = F.split("repo", "/")
+    k = looked_up.select(F.lower("owner").alias("__o"), F.lower("repo").alias("__r"), F.col("number").alias("__n"), "created_at", "author", "is_pr", F.col("error").alias("__e"))
+    both = outputs_.join(k, (own[0] == F.col("__o")) & (own[1] == F.col("__r")) & (F.col("number") == F.col("__n")), "left")
+    delta = (F.unix_micros("first_seen") - F.unix_micros("created_at")) / 60_000_000
+    repo, made = F.col("repo").isNotNull(), F.col("created_at").isNotNull()
+    early = made & (delta < -2)
+    status = F.when(~repo, "unchecked").when(~made | early, "unknown").when(delta <= 10, "confirmed").otherwise("outside")
+    error = F.when(repo & early, "first seen before created_at").when(repo & ~made, F.coalesce("__e", F.lit("missing or invalid created_at")))
+    kind = F.when(repo & made, F.when(F.col("is_pr"), "pr").otherwise("issue")).otherwise(F.col("kind"))
+    url = F.when(repo, F.concat(F.lit("https://github.com/"), "repo", F.when(kind == "pr", "/pull/").otherwise("/issues/"), F.col("number").cast("string"))).otherwise(F.col("url"))
+    return both.withColumns({"status": status, "error": error, "kind": kind, "url": url}).drop("__o", "__r", "__n", "__e", "is_pr")
+
+
 def counters(apps: DataFrame, owners: list[str], since=None, until=None) -> DataFrame:
     """(what, source, n): ``undated`` own links, and ``references`` to others' repositories."""
     own = (F.col("kind") == "drive") | F.col("owner").isin(*[o.lower() for o in owners] or [""])

@@ -17,7 +17,7 @@ from ..operators import denials as D
 from ..operators import hygiene as H
 from ..operators import memory as M
 from ..operators import mining, pending, recalls, review, salvage, search, text, topics, trace
-from ..sources import codex, cursor, ledgers, opencode, session_log, web_export
+from ..sources import codex, cursor, ledgers, lookup, opencode, session_log, web_export
 from ..sources.lines import discover, files, lines
 from .store import Store, changed_files, files_per_root, ledger_rows, stat
 
@@ -194,17 +194,27 @@ class Engine:
         scanned = self.spark.createDataFrame([(k,) for k in disk], "key string")
         return {"files": rows, "summary": M.models(c, e, since, until, rows.select("key")), "unattributed": M.unattributed(c, scanned)}
 
-    def review(self, since=None, until=None, bucket: str = "month", zone: str | None = None, themes: int = 10, owners: list[str] | None = None) -> dict:
+    def review(self, since=None, until=None, bucket: str = "month", zone: str | None = None, themes: int = 10, owners: list[str] | None = None, gh: bool = False, call: lookup.Call = lookup.gh) -> dict:
         if since is not None and until is not None and since > until:
             raise ValueError("since must not be after until")
         zone = zone or local_zone()
         e, s, c = self.table("events"), self.table("sessions"), self.table("tool_calls")
         apps = review.appearances(review.links(c))
         who = sorted({o.lower() for o in owners}) if owners is not None else [o for o in [review.infer_owner(apps)] if o]
-        return {"zone": zone, "bucket": bucket, "owners": who, "owners_inferred": owners is None, "buckets": review.buckets(e, s, c, since, until, bucket, zone, who), "outputs": review.outputs(apps, who, since, until), "counters": review.counters(apps, who, since, until), "themes": review.theme_report(e, s, since, until, bucket, zone, themes) if themes else None}
-
-    def pending(self, **options) -> DataFrame:
-        return pending.pending_items(self.table("events"), self.table("sessions"), **options)
+        outs = review.outputs(apps, who, since, until)
+        if gh:
+            keys = [(*r["repo"].split("/", 1), r["number"]) for r in outs.where("repo is not null").collect()]
+            outs = review.confirm(outs, lookup.look_up(self.spark, keys, call))
+        return {"zone": zone, "bucket": bucket, "owners": who, "owners_inferred": owners is None, "buckets": review.buckets(e, s, c, since, until, bucket, zone, who), "outputs": outs, "counters": review.counters(apps, who, since, until), "themes": review.theme_report(e, s, since, until, bucket, zone, themes) if themes else None}
+
+    def pending(self, gh: bool = False, call: lookup.Call = lookup.gh, **options) -> DataFrame:
+        """Open items; with ``gh`` the states of their references are looked up."""
+        e, s = self.table("events"), self.table("sessions")
+        if gh:
+            who = options.get("owner") or pending.default_owner(pending.repositories(pending.summaries(e, s, True)))
+            options["names_of"] = lookup.repositories(who, call) if who else None
+        items = pending.pending_items(e, s, **options)
+        return pending.pending_items(e, s, **options, states=lookup.look_up(self.spark, pending.asked(items), call)) if gh else items
 
     def hygiene(self, since=None, until=None, rules: Rules = Rules()) -> dict[str, DataFrame]:
         c = self.table("tool_calls")
