@@ -68,12 +68,12 @@ class Transducer:
         self.token: list[int] = [-1]
         self.right: dict[int, list[tuple[bytes, int]]] = {}
         self.left: dict[int, list[tuple[bytes, int]]] = {}
-        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cut: dict[bytes, int] = {}  # where the last merge of a token joined its halves
         self.ordered = True
         for t, i in ranks.items():
             halves = [t] if len(t) == 1 else merge(ranks, t, 2)
             if len(halves) == 2:
-                self.halves[t] = (halves[0], halves[1])
+                self.cut[t] = len(halves[0])
                 self.ordered &= max(map(ranks.__getitem__, halves)) < i
             if len(halves) < 3:  # others appear only as whole pieces
                 at = 0
@@ -92,8 +92,13 @@ class Transducer:
 
     def _few_below(self) -> list[list[int] | None]:
         """The tokens strictly below each trie node; None where they are many."""
+        none: list[int] = []
+        leaf: dict[int, int] = {}
         below: list[list[int] | None] = [None] * len(self.child)
         for node in range(len(self.child) - 1, -1, -1):  # children have higher numbers
+            if not self.child[node]:
+                self.child[node], below[node] = leaf, none  # most nodes are leaves and share these
+                continue
             found: list[int] | None = []
             for to in self.child[node].values():
                 if found is not None and below[to] is not None and len(found) + len(below[to]) < FEW:
@@ -136,7 +141,7 @@ class Transducer:
             ends.append((at, goes))
             if len(at) == 1:
                 return ends
-            goes, at = self.ranks[at], self.halves[at][side]
+            goes, at = self.ranks[at], at[self.cut[at] :] if side else at[: self.cut[at]]
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether no merge crosses the boundary: of the two ends standing there at any time, none may merge before both are gone."""

@@ -87,6 +87,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small DataFrame from rows at hand, by way of Arrow, which starts no Python workers."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), StructType.fromDDL(schema))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for tables that stages write and read again."""
     sc = spark.sparkContext
@@ -134,6 +141,6 @@ def rank_within(df: DataFrame, group: str, order: list[str], out: str, partition
         rows.append((r["__pid"], r["__group"], r["__first"], before))
         seen[r["__group"]] = before + r["__n"]
     kind = df.schema[group].dataType.simpleString()
-    starts = spark.createDataFrame(rows, f"__pid long, __group {kind}, __first long, __before long")
+    starts = local_frame(spark, rows, f"__pid long, __group {kind}, __first long, __before long")
     joined = placed.join(F.broadcast(starts), (placed["__pid"] == starts["__pid"]) & placed[group].eqNullSafe(starts["__group"]))
     return joined.select(*[placed[c] for c in df.columns], (placed["__at"] - F.col("__first") + F.col("__before")).alias(out))

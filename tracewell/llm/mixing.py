@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_within, read, word_count
+from .common import local_frame, rank_within, read, word_count
 
 CAP = 3.0
 
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights=cycle_weights, cap: float = CAP, seed: int = 7,
     placed = rank_within(rows, "source", ["size", "mix", "doc_id"], "nth")
     sizes = {r[0]: r[1] for r in placed.groupBy("source").agg(F.sum("size")).collect()}
     goal = targets(sizes, weights(list(sizes)), cap)
-    table = spark.createDataFrame([(s, n, goal[s], goal[s] / n if n else 0.0) for s, n in sizes.items()], "name string, source_size long, target double, rate double")
+    table = local_frame(spark, [(s, n, goal[s], goal[s] / n if n else 0.0) for s, n in sizes.items()], "name string, source_size long, target double, rate double")
     if len(sizes) <= 100_000:
         table = F.broadcast(table)
     joined = placed.join(table, placed["source"].eqNullSafe(table["name"]))
