@@ -69,7 +69,7 @@ def corpus(tmp_path_factory):
     write(f"{root}/cx/x.jsonl", [item("CommandExecution", id="i0", command="early", stdout="o"), {"type": "session_meta", "payload": {"id": "x1"}}, item("CommandExecution", id="i1", command=["ls"], stdout="o", exit_code=1, cwd="file:///a%20b", duration={"secs": 1, "nanos": 5e8}), item("McpToolCall", id="i2", server="s", tool="t", error="boom"), item("FileChange", id="i3", changes={"f": {}}, status="completed", stderr="warn", stdout="k"), item("ContextCompaction", id="i4"), item("Unknown", id="i5"), {"type": "response_item", "payload": {"type": "message", "role": "developer", "content": [{"type": "input_text", "text": "a"}, {"type": "output_text", "text": "b"}]}}, {"type": "token_usage_record", "payload": {"thread_token_usage": {"input_tokens": 3}}}, {"type": "token_usage_record", "payload": {"thread_token_usage": {"input_tokens": 9, "cached_input_tokens": 2}}}])
     chat = f"{root}/chats/h/c1"
     os.makedirs(chat)
-    json.dump({"cwd": "/cursor", "createdAtMs": 1000, "updatedAtMs": "bad"}, open(f"{chat}/meta.json", "w"))
+    json.dump({"cwd": "/cursor", "createdAtMs": 1767225600000, "updatedAtMs": "bad"}, open(f"{chat}/meta.json", "w"))
     db = sqlite3.connect(f"{chat}/store.db")
     db.execute("CREATE TABLE blobs (id BLOB PRIMARY KEY, data BLOB)")
     say = [{"role": "system", "content": "rules"}, {"role": "assistant", "content": [{"type": "reasoning", "text": "hm"}, {"type": "redacted-reasoning"}, {"type": "tool-call", "toolCallId": "a", "toolName": "Shell"}, {"type": "tool-call", "toolCallId": "b", "toolName": "CallMcpTool"}]}, {"role": "tool", "content": [{"type": "tool-result", "toolCallId": "a", "result": "Exit code: 2\nno"}]}]
