@@ -57,7 +57,7 @@ def corpus(tmp_path_factory):
     root = str(tmp_path_factory.mktemp("logs"))
     write(f"{root}/cc/proj/one.jsonl", LOG)
     write(f"{root}/cc/proj/empty.jsonl", [])
-    tool = lambda i, status, **s: {"type": "message.part.updated", "properties": {"sessionID": "o1", "part": {"type": "tool", "tool": "memory_recall", "callID": i, "state": {"status": status, "input": {"query": "w"}, "time": {"start": 1000, "end": 2500}, **s}}}}
+    tool = lambda i, status, **s: {"type": "message.part.updated", "properties": {"sessionID": "o1", "part": {"type": "tool", "tool": "memory_recall", "callID": i, "state": {"status": status, "input": {"query": "w"}, "time": {"start": 1767225601000, "end": 1767225602500}, **s}}}}
     delta = lambda t, p="p1": {"type": "message.part.delta", "properties": {"sessionID": "o1", "field": "text", "partID": p, "delta": t}}
     snap = {"type": "message.part.updated", "properties": {"sessionID": "o1", "part": {"type": "text", "id": "p2", "text": "whole"}}}
     write(f"{root}/oc/a/events.ndjson", [delta("Em"), tool("c1", "running"), delta("it"), delta("half", "p2"), snap, tool("c1", "completed", output={"a": 1}), tool("c2", "error", error="bad"), "{"])
