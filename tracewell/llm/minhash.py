@@ -41,7 +41,7 @@ from .graph import components
 TREES, DEPTH = 24, 4
 COLUMNS = TREES * DEPTH
 #: Rows of a region that one task compares with each other, and hubs that a larger region shows to all its blocks.
-BLOCK, HUBS = 1024, 16
+BLOCK, HUBS = 4096, 16
 #: Ids of candidates that may be broadcast (8 bytes each); beyond it the texts are shuffled to them.
 SMALL = 2_000_000
 
@@ -426,7 +426,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     again = sets.select("rep").distinct().join(rows, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     again = cut(again.select("rep", "keys", "sketch", F.coalesce("component", "rep").alias("comp")))
     columns = ("rep", "sketch", "comp", "minor", "asks", "keys")
-    meet = cut(_meetings(again))
+    meet = _meetings(again)
     open_ = cut(_placed(meet, PLACE, *columns).mapInArrow(_unsettled(least), "tree long, key long, askers long, block long, rep long, asks boolean"))
     full = meet.join(open_, [*PLACE, "rep", "asks"], "left_semi").join(sets, "rep")
     more = _placed(full, PLACE, *columns, "hashes").mapInArrow(_settle(least, percent), "a long, b long")
