@@ -397,8 +397,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     parts = map_rows(texts("want"), lambda: _fetch, "gram long, content long, copies long, part binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = parts.repartition(n, "gram").sortWithinPartitions("gram", "content").mapInArrow(_transform, f"gram long, content long, spans {SPANS}")
-    pieces = map_rows(texts("large"), lambda: _pieces, "group long, item long, copies long, part binary, gram long, content long, at int")
-    told = cut(told.union(whole).union(_large_groups(pieces)))
+    told = told.union(whole)
+    if not several.where(F.col("size") > GROUP).isEmpty():
+        pieces = map_rows(texts("large"), lambda: _pieces, "group long, item long, copies long, part binary, gram long, content long, at int")
+        told = told.union(_large_groups(pieces))
+    told = cut(told)
     hits = runs.join(told, ["gram", "content"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "spans")).alias("runs"))
     return docs, cut(hits.mapInArrow(_merge, f"doc_id {kind}, mark long, runs array<long>"))
 
