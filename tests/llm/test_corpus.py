@@ -114,6 +114,23 @@ def test_repeats_of_repeated_rows(spark, tmp_path, monkeypatch):
     assert sorted(tuple(x)[1:] for x in got) == sorted(plain_repeats(texts))
 
 
+def test_repeats_of_variants_that_differ_in_the_gram(spark, tmp_path, monkeypatch):
+    """Windows of large groups that are equal around their grams, and only there, are no repeats."""
+    monkeypatch.setattr(suffixdedup, "GROUP", 2)
+    r = random.Random(14)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    edges, head, tail = ["xyz", "yzx", "zxy", "xzw"], letters(40), letters(100)
+    picked = lambda t: [s[2].tolist() for s in suffixdedup.segments(t.encode())] == [[43]]
+    variants = []
+    while len(variants) < 2:
+        t = head + letters(100) + tail
+        variants += [t] if all(picked(e + t) for e in edges) else []
+    texts = [e + t for t in variants for e in edges]
+    got = {x["doc_id"]: tuple(x)[1:] for x in run_repeats(spark, tmp_path, texts)}
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
+    assert {got[i][1] for i in got} == {240}
+
+
 def test_repeats_without_keys(spark, tmp_path):
     p = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(150))
     got = run_repeats(spark, tmp_path, [p, p, "other", None], [None, None, None, None])

@@ -295,12 +295,16 @@ def _pieces(columns):
 
 
 def _singles(columns):
-    """A row for each window of a piece: group, item, place, copies and 128 bits of its hash."""
+    """A row for each window of a piece: group, item, place, copies and 128 bits of its hash.
+
+    The gram is one symbol in a piece, so the group, which depends on it, is hashed too.
+    """
     out = [[] for _ in range(6)]
     for group, item, copies, piece in zip(*columns):
+        g = group.to_bytes(8, "little", signed=True)
         for i in range(len(piece) - WINDOW + 1):
             w = piece[i : i + WINDOW]
-            for column, value in zip(out, (group, item, i, copies, _key(b"1", w), _key(b"2", w))):
+            for column, value in zip(out, (group, item, i, copies, _key(b"1", g, w), _key(b"2", g, w))):
                 column.append(value)
     return out
 
