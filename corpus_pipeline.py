@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, langid, minhash, mixing, pii
-from tracewell.llm.common import shared_folder
+from tracewell.llm.common import rank_within, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,22 +27,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows with an identity of their own, a whole number ``row_id``, in the order of doc_id, null last.
+
+    It is doc_id where that tells all rows apart. Otherwise it is the row's place by doc_id and a
+    hash of all columns; equal rows are numbered on.
+    """
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id"))
+    rows = docs.withColumns({"__all": F.lit(0), "__hash": F.xxhash64(*COLUMNS)})
+    return rank_within(rows, "__all", ["doc_id", "__hash"], "row_id").select(*COLUMNS, "row_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id.
 
-    Rows that share an id are one document, and rows without one are one, too: the
-    smallest of each, by all columns, stays.
+    Rows that share an id, or have none, are documents of their own, told apart by ``identified``.
     """
-    gone = minhash.near_duplicates(docs, words=5).where("not kept").select("doc_id").distinct()
+    docs = identified(docs)
+    gone = minhash.near_duplicates(docs, words=5, key="row_id").where("not kept").select(F.col("doc_id").alias("row_id"))
     small = gone.count() <= minhash.SMALL
-    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    # Rows that repeat an id are one document; such ids are few, and the last stages join on them.
-    again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    first = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
-    return kept.join(again, same, "left_anti").unionByName(first)
+    return docs.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +59,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights; a document taken more than once stands there as often."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = taken.withColumnRenamed("doc_id", "__id")
-    both = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    docs = identified(docs)
+    taken = mixing.mix(docs, key="row_id").where("copies > 0").select(F.col("doc_id").alias("row_id"), "copies")
+    both = docs.join(taken, "row_id")
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

@@ -350,3 +350,23 @@ def test_pipeline(spark, tmp_path):
     assert not kept[2].text.str.contains("555-6437", regex=False).any() and len(kept[2]) == len(kept[1])
     assert ids[3] <= ids[2] and len(kept[4]) == len(kept[3]) and (kept[4].n_tokens > 0).all()
     assert cp.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_pipeline_keeps_rows_that_share_an_id(spark, tmp_path):
+    """Different texts under one id, or under none, are all kept; only near copies go."""
+    import corpus_pipeline as cp
+
+    r = random.Random(15)
+    words = ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(500)]
+    text = lambda: " ".join(r.choice(words) for _ in range(60))
+    twin, alone = text(), [text() for _ in range(12)]
+    rows = [(i // 2, t) for i, t in enumerate(alone[:6])] + [(None, t) for t in alone[6:]]
+    rows += [(9, twin), (10, twin + " extra"), (10, other := text()), (None, twin), (None, alone[6])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicates(spark, docs, "")
+    want = [*rows[:12], (9, twin), (10, other)]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=key) == sorted(want, key=key)
+    taken = mixing.mix(cp.identified(kept), key="row_id").agg(F.sum("copies")).first()[0]
+    mixed = collections.Counter((x.doc_id, x.text) for x in cp.mix(spark, kept, "").collect())
+    assert set(mixed) <= set(want) and mixed.total() == taken and max(mixed.values()) <= 3
