@@ -20,11 +20,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language: those without text or letters go."""
+    """Keep documents with a language: those without text or letters go; a missing label is predicted.
+
+    With no labelled rows to learn from, all documents with letters stay and labels stay as they are.
+    """
     docs = docs.select(*COLUMNS)
     samples = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
-    found = langid.identify(docs, samples, keep=COLUMNS)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    if not samples:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, samples, keep=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -370,3 +370,16 @@ def test_pipeline_keeps_rows_that_share_an_id(spark, tmp_path):
     taken = mixing.mix(cp.identified(kept), key="row_id").agg(F.sum("copies")).first()[0]
     mixed = collections.Counter((x.doc_id, x.text) for x in cp.mix(spark, kept, "").collect())
     assert set(mixed) <= set(want) and mixed.total() == taken and max(mixed.values()) <= 3
+
+
+def test_pipeline_predicts_missing_languages(spark):
+    """And keeps texts with letters where nothing is labelled."""
+    import corpus_pipeline as cp
+
+    one, two = "the cat sat on the mat with that hat", "der hund und die katze sind nicht im haus"
+    rows = [(i, (one, two)[i % 2] * 3, ("en", "de")[i % 2]) for i in range(20)] + [(20, one, None), (21, two, None), (22, two, "en"), (23, "12 34", None), (24, None, None)]
+    make = lambda rows: spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.lang for x in cp.language(spark, make(rows), "").collect()}
+    assert got == {i: x for i, _, x in rows[:20]} | {20: "en", 21: "de", 22: "en"}
+    got = cp.language(spark, make([(i, t, None) for i, t, _ in rows]), "").collect()
+    assert sorted((x.doc_id, x.lang) for x in got) == [(i, None) for i in range(23)]
