@@ -1,12 +1,12 @@
-"""MinHash near-duplicates with an LSH forest (operator 8).
+"""MinHash near-duplicates by banding, with hubs (operator 8).
 
 1. Texts become sets of hashed word shingles; equal sets fold into one representative.
-2. A representative's signature has ``TREES * DEPTH`` minima. Tree t orders all
-   signatures from column ``t * DEPTH`` on, wrapping round. Rows whose longest common
-   prefix in some order reaches ``DEPTH`` columns lie in one region of that tree;
-   a pair of similarity 0.8 misses all regions with probability 3e-6.
+2. A representative's signature has ``TREES * DEPTH`` minima. Tree t is a band: rows
+   that agree on its ``DEPTH`` minima, from column ``t * DEPTH`` on, lie in one region
+   of that tree; the depth is fixed, and no signatures are sorted. A pair of
+   similarity 0.8 misses all regions with probability 3e-6.
 3. Inside a region, one byte of each minimum estimates similarity. The region is
-   deepened to its hubs: the row nearest to the column-wise consensus takes the
+   clustered around its hubs: the row nearest to the column-wise consensus takes the
    rows close to it, then the next hub among the rest, and so on.
 4. Hub pairs are confirmed on the full sets and joined to components. A second
    pass over the regions takes all pairs that are close and still in different
