@@ -64,6 +64,21 @@ def test_phrases_against_plain_search():
         assert [plain_phrases(seq, t.tolist()) for t in texts] == got[:, k].tolist()
 
 
+@pytest.mark.parametrize("size, bits", [(600, 28), (20, 14)])
+def test_large_alphabets_and_many_automata(monkeypatch, size, bits):
+    """No letter of a sample is merged with another, and offsets may pass the dense table's."""
+    monkeypatch.setattr(langid.Model, "BITS", bits)
+    r = random.Random(16)
+    draw = lambda first, n: "".join(chr(0x4E00 + first + r.randrange(size)) for _ in range(n))
+    samples = {k: draw(i * size // 2, 2500) for i, k in enumerate("abc")}
+    m = langid.Model(samples)
+    texts = [draw(r.randrange(2 * size), 40) + samples["b"][i : i + 30] for i in range(10)]
+    got = m.phrases([m.classes(t) for t in texts])
+    for k, lang in enumerate(m.langs):
+        assert [plain_phrases([-1, *map(ord, samples[lang])], [*map(ord, t)]) for t in texts] == got[:, k].tolist()
+    assert m.predict([t[:] for t in (samples["a"][50:99], samples["c"][7:60])])[0] == ["a", "c"]
+
+
 # ---- byte-level BPE
 
 

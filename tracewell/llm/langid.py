@@ -11,7 +11,9 @@ characters (a cut ends a phrase), and one numpy step moves all segments of a
 batch through all automata by one character. No text is shortened.
 
 Bounds (parameters of ``fit``): about ``rows_per_lang`` labelled rows for each
-language, chosen by a hash of the key, and ``chars_per_lang`` characters of them.
+language, chosen by a hash of the key, and ``chars_per_lang`` characters of them. All letters
+of the samples and any number of languages are told apart: beyond 253 letters, or
+beyond the offsets of one dense table, the model looks its edges up in a sorted list.
 
 Results for odd input: a null text or one without a letter gets ``und`` and
 score 0; with no labelled rows at all every text gets ``und``; rows with a null
@@ -76,39 +78,63 @@ def letters() -> np.ndarray:
 class Model:
     """Automata of all languages in one table of ``state * width + class``.
 
-    An entry holds the next offset and, above ``BITS``, the phrases that end with this step.
+    An entry holds the next offset and, above ``bits``, the phrases that end with this step.
+    The table is dense where the offsets fit ``BITS`` bits and the classes a byte; otherwise only
+    the edges are held, sorted by offset (``edges`` and ``table``), with ``WIDE`` bits.
     """
 
-    BITS = 28
+    BITS, WIDE = 28, 48
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         lowered = {k: samples[k].lower() for k in self.langs}
         seen = Counter(c for t in lowered.values() for c in t if c.isalpha())
-        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: 256 - FIRST]]
+        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
         self.width = max(8, 1 << (len(alphabet) + FIRST - 1).bit_length())
-        self.cls = np.full(0x110000, OTHER, np.uint8)
+        most = self.width * sum(2 * len(t) + 2 for t in lowered.values())  # an automaton has less than two states a symbol
+        self.dense = self.width <= 256 and most <= 1 << self.BITS
+        self.bits, kind = (self.BITS, np.int32) if self.dense else (self.WIDE, np.int64)
+        self.cls = np.full(0x110000, OTHER, np.uint8 if self.width <= 256 else np.uint32)
         self.cls[~letters()] = GAP
         for i, c in enumerate(alphabet):
             self.cls[ord(c)] = FIRST + i
-        tables, self.roots, self.logs, base = [], [], [], 0
+        places, tables, self.roots, self.logs, base = [], [], [], [], 0
         for lang in self.langs:
             seq = [GAP, *self.classes(lowered[lang]).tolist()]
             nxt = automaton(seq)
-            first = nxt[0]
-            root = np.array([base + first[c] * self.width if c in first else base + (1 << self.BITS) for c in range(self.width)], np.int32)
-            table = np.repeat(root[None] + np.int32(1 << self.BITS), len(nxt), 0)  # a missing letter ends a phrase and begins at the root
-            table[0] = root
-            for s, edges in enumerate(nxt):
-                for c, to in edges.items():
-                    table[s, c] = base + to * self.width
-            table[:, PAD] = base + np.arange(len(nxt)) * self.width
-            tables.append(table)
+            if self.dense:
+                first = nxt[0]
+                root = np.array([base + first[c] * self.width if c in first else base + (1 << self.bits) for c in range(self.width)], kind)
+                table = np.repeat(root[None] + kind(1 << self.bits), len(nxt), 0)  # a missing letter ends a phrase and begins at the root
+                table[0] = root
+                for s, edges in enumerate(nxt):
+                    for c, to in edges.items():
+                        table[s, c] = base + to * self.width
+                table[:, PAD] = base + np.arange(len(nxt)) * self.width
+                tables.append(table.ravel())
+            else:
+                edges = np.array([(s * self.width + c, to * self.width) for s, out in enumerate(nxt) for c, to in sorted(out.items())], np.int64) + base
+                places.append(edges[:, 0].copy())
+                tables.append(edges[:, 1].copy())
             self.roots.append(base)
             self.logs.append(math.log2(max(2, len(seq))))
             base += len(nxt) * self.width
             del nxt
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, kind)
+        self.edges = np.concatenate(places) if places else None
+
+    def _follow(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Entries of the states (rows by language) for the symbols."""
+        if self.dense:
+            return self.table.take(state + symbols)
+        one, roots = 1 << self.bits, np.array(self.roots, np.int64)[:, None]
+
+        def found(at):
+            i = np.minimum(np.searchsorted(self.edges, at), len(self.edges) - 1)
+            return self.edges[i] == at, self.table[i]
+
+        (hit, to), (known, anew) = found(state + symbols), found(roots + symbols)
+        return np.where(hit, to, np.where(known, anew, roots + one) + one * (state != roots))
 
     def classes(self, lowered: str) -> np.ndarray:
         """Classes of a text: each run of other characters is one gap."""
@@ -123,7 +149,7 @@ class Model:
         owner = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
         if not len(owner):
             return counts
-        lanes = np.zeros((len(owner), SEGMENT), np.uint8)
+        lanes = np.zeros((len(owner), SEGMENT), self.cls.dtype)
         at = 0
         for t in texts:
             n = -(-len(t) // SEGMENT)
@@ -134,18 +160,18 @@ class Model:
         lanes, owner = lanes[order], owner[order]
         filled = (lanes != PAD).sum(1)
         lanes = np.ascontiguousarray(lanes.T)
-        roots = np.array(self.roots, np.int32)[:, None]
+        roots = np.array(self.roots, self.table.dtype)[:, None]
         state = np.repeat(roots, len(owner), 1)
         ended = np.zeros(state.shape, np.int32)
-        mask = np.int32((1 << self.BITS) - 1)
+        mask = self.table.dtype.type((1 << self.bits) - 1)
         active = np.searchsorted(-filled, -np.arange(SEGMENT), side="left")  # lanes longer than the step, as they are sorted
         for step in range(SEGMENT):
             n = int(active[step])
             if not n:
                 break
-            v = self.table.take(state[:, :n] + lanes[step, :n])
+            v = self._follow(state[:, :n], lanes[step, :n].astype(self.table.dtype, copy=False))
             state[:, :n] = v & mask
-            ended[:, :n] += v >> self.BITS
+            ended[:, :n] += v >> self.bits
         ended += state != roots
         for i in range(len(self.langs)):
             counts[:, i] = np.bincount(owner, ended[i], len(texts))
