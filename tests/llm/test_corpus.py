@@ -67,6 +67,26 @@ def test_media_query(spark):
     assert media.samples(bytes(both[0]["pcm"]))[1] == 16000
 
 
+def test_short_blocks_and_channels():
+    data = np.random.default_rng(2).integers(0, 256, 2 * 64 + 10).astype(np.uint8).tobytes()
+    pcm, _ = media.samples(media.wave(data, media.IMA, 8000, 64, 4))
+    assert pcm.tolist() == media.ima_decode(data, 64).tolist() + media.ima_decode(data[128:], 10).tolist() and len(pcm) == 2 * 121 + 13
+    with pytest.raises(ValueError):
+        media.samples(media.wave(data[:130], media.IMA, 8000, 64, 4))
+    two = bytearray(media.wave(b"abcd", media.PCM, 8000, 4, 16))
+    two[22] = 2
+    with pytest.raises(ValueError):
+        media.samples(bytes(two))
+
+
+def test_media_query_reads_the_stored_columns(spark, monkeypatch):
+    made, plain = [], media.media_column
+    monkeypatch.setattr(media, "media_column", lambda *a, **k: made.append(plain(*a, **k)) or made[0])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {x.doc_id: tuple(x)[1:] for x in media.op5_media(spark, SF).collect()}
+    assert made and got == {i: media.digest_row(t) for i, t in docs}
+
+
 # ---- repeats
 
 

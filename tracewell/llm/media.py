@@ -8,8 +8,8 @@ Any byte string is a valid mu-law stream, so a payload is stored losslessly as
 the samples of a mu-law file and read back from the file's data chunk.
 
 Results for odd input: null text counts as empty; the payload of an empty text
-is one block of spaces; a file that is not RIFF/WAVE, or has no data chunk,
-raises ValueError.
+is one block of spaces; a file that is not RIFF/WAVE, has no data chunk, has more
+than one channel or ends inside the header of an ADPCM block raises ValueError.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import crc32, map_rows, read
 
@@ -72,7 +73,9 @@ def wave(data: bytes, kind: int = MULAW, rate: int = RATE, align: int = 1, bits:
     extra = struct.pack("<HH", 2, 1 + 2 * (align - 4)) if kind == IMA else b"" if kind == PCM else struct.pack("<H", 0)
     speed = rate * align // (1 + 2 * (align - 4)) if kind == IMA else rate * align
     fmt = struct.pack("<HHIIHH", kind, 1, rate, speed, align, bits) + extra
-    fact = b"" if kind == PCM else b"fact" + struct.pack("<II", 4, len(data) // align * (1 + 2 * (align - 4)) if kind == IMA else len(data) // align)
+    tail = len(data) % align
+    count = len(data) // align * (1 + 2 * (align - 4)) + (1 + 2 * (tail - 4) if tail >= 4 else 0) if kind == IMA else len(data) // align
+    fact = b"" if kind == PCM else b"fact" + struct.pack("<II", 4, count)
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -87,6 +90,8 @@ def parse(media: bytes) -> tuple[int, int, int, bytes]:
         if name == b"fmt " and at + 24 <= len(media):
             head = struct.unpack_from("<HHIIHH", media, at + 8)
         if name == b"data" and head:
+            if head[1] != 1:
+                raise ValueError(f"{head[1]} channels")
             return head[0], head[2], head[4], media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
@@ -100,7 +105,10 @@ def samples(media: bytes) -> tuple[np.ndarray, int]:
     if kind == ALAW:
         return ALAW_TABLE[np.frombuffer(data, np.uint8)], rate
     if kind == IMA:
-        return ima_decode(data, align), rate
+        tail = data[len(data) // align * align :]
+        if 0 < len(tail) < 4:
+            raise ValueError("a block without its header")
+        return np.concatenate([ima_decode(data, align), *([ima_decode(tail, len(tail))] if tail else [])]), rate
     if kind == PCM:
         return np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
     raise ValueError(f"format {kind}")
@@ -140,37 +148,43 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(data), data + b" " * ((-len(data)) % BLOCK if data else BLOCK)
 
 
+def stored(text: str | None, rate: int = 2 * RATE) -> tuple[bytes, bytes]:
+    """Media (mu-law WAVE) of a text's payload, and its PCM (WAVE) at ``rate``."""
+    media = store(payload_of(text)[1])
+    s, had = samples(media)
+    return media, wave(resample(s, had, rate).tobytes(), PCM, rate, 2, 16)
+
+
 def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id", rate: int = 2 * RATE) -> DataFrame:
     """One row per row: key, media (mu-law WAVE) and pcm (WAVE of 16-bit PCM at ``rate``)."""
 
     def make():
         def run(columns):
-            media = [store(payload_of(t)[1]) for t in columns[1]]
-            pcm = []
-            for m in media:
-                s, had = samples(m)
-                pcm.append(wave(resample(s, had, rate).tobytes(), PCM, rate, 2, 16))
-            return [columns[0], media, pcm]
+            both = [stored(t, rate) for t in columns[1]]
+            return [columns[0], [m for m, _ in both], [p for _, p in both]]
 
         return run
 
     return map_rows(docs.select(key, text), make, f"{key} {docs.schema[key].dataType.simpleString()}, media binary, pcm binary")
 
 
+def digest(size: int, media: bytes, pcm: bytes) -> tuple:
+    """Digest of a stored row, whose text has ``size`` bytes."""
+    back = parse(media)[3]
+    return (size, len(back), hashlib.sha256(back).hexdigest(), crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(*samples(pcm)))
+
+
 def digest_row(text: str | None) -> tuple:
-    size, payload = payload_of(text)
-    media = store(payload)
-    _, rate, _, back = parse(media)
-    expanded, rate = samples(media)
-    pcm = resample(expanded, rate, 2 * rate)
-    return (size, len(back), hashlib.sha256(back).hexdigest(), crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pcm, 2 * rate))
+    return digest(payload_of(text)[0], *stored(text))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = media_column(docs.select(F.struct("doc_id", size.alias("size")).alias("doc"), "text"), key="doc")
 
     def make():
-        return lambda columns: [columns[0], *([list(c) for c in zip(*map(digest_row, columns[1]))])]
+        return lambda columns: [columns[0], *([list(c) for c in zip(*map(digest, *columns[1:]))])]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs, make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_rows(rows.select("doc.doc_id", "doc.size", "media", "pcm"), make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
