@@ -9,7 +9,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,17 +74,28 @@ def hold(owner: str, drop: Callable[[], None] | None = None) -> None:
             ctypes.CDLL(None).malloc_trim(0)  # give free pages back, where the C library can
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and for tables that stages write and read again.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; one is set here only
-    where that is unset and the session has none yet (single-machine tests).
+    The cluster names it in ``spark.checkpoint.dir``. One is made here only where that is unset and
+    Spark runs in this process alone (tests); on a cluster without it, this raises.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="tracewell-ckpt-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewell-ckpt-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the reliable checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -94,16 +106,6 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), StructType.fromDDL(schema))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for tables that stages write and read again."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracewell-ckpt-"))
-    return sc.getCheckpointDir()
-
-
 def word_count(text: str) -> F.Column:
     """Number of words of a text column (null: 0), without building the words."""
     gaps = F.regexp_replace(F.col(text), WORD, "\u0001")
@@ -114,6 +116,12 @@ def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+def hex_draw(*parts: Column | str, digits: int = 13) -> Column:
+    """A whole number below 16 ** digits, drawn by MD5 from the parts (null: empty) and a bar after each."""
+    said = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat(*[x for p in said for x in (p, F.lit("|"))])), 1, digits), 16, 10).cast("long")
+
+
 def rank_within(df: DataFrame, group: str, order: list[str], out: str, partitions: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row among the rows of its group.
 
@@ -122,25 +130,17 @@ def rank_within(df: DataFrame, group: str, order: list[str], out: str, partition
     and shifted by what earlier partitions hold of the same group. Only counts
     for each (partition, group) meet, at most partitions + groups of them.
     ``order`` must make rows distinct for a repeatable numbering; rows that tie in
-    every column are interchangeable. The numbered rows are cut through the
-    checkpoint folder because range bounds are sampled and must not be redrawn.
+    every column are interchangeable. The rows are cut through the checkpoint folder
+    before, as range bounds are sampled from them, and numbered, as bounds must not be redrawn.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, F.col(group).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order])
-    placed = placed.sortWithinPartitions(F.col(group).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order])
-    at = F.monotonically_increasing_id()
-    placed = cut(placed.withColumn("__at", at))
-    pid = F.shiftright(F.col("__at"), 33)
-    placed = placed.withColumn("__pid", pid)
+    by = [F.col(c).asc_nulls_last() for c in (group, *order)]
+    placed = cut(df).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    placed = cut(placed.withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__pid", F.shiftright(F.col("__at"), 33))
     parts = placed.groupBy("__pid", F.col(group).alias("__group")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    seen: dict = {}
-    rows = []
-    for r in sorted(parts.collect(), key=lambda r: r["__pid"]):  # partitions + groups rows at most
-        before = seen.get(r["__group"], 0)
-        rows.append((r["__pid"], r["__group"], r["__first"], before))
-        seen[r["__group"]] = before + r["__n"]
-    kind = df.schema[group].dataType.simpleString()
-    starts = local_frame(spark, rows, f"__pid long, __group {kind}, __first long, __before long")
-    joined = placed.join(F.broadcast(starts), (placed["__pid"] == starts["__pid"]) & placed[group].eqNullSafe(starts["__group"]))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__group").orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(F.col("__pid").alias("__part"), "__group", "__first", before.alias("__before"))
+    joined = placed.join(starts, (placed["__pid"] == starts["__part"]) & placed[group].eqNullSafe(starts["__group"]))
     return joined.select(*[placed[c] for c in df.columns], (placed["__at"] - F.col("__first") + F.col("__before")).alias(out))
