@@ -1,14 +1,20 @@
 """Sharding by a hierarchical weighted hash tree (operator 9).
 
-A tree of regions, racks and shards. Each shard draws ``-ln(u) / weight`` with
-``u`` hashed from the key and the shard; the draw of a rack or region is the
-smallest below it, which is itself a weighted draw with the subtree's total
-weight. A row descends from the root to the child with the smallest draw. A
-changed weight moves rows only between the changed shard and others, and a new
-shard takes rows only into itself: other subtrees' draws stay as they were.
+A tree of regions, racks and shards. A row descends from the root: at each level
+every child draws ``-ln(u) / weight``, with ``u`` hashed from the key and the
+child's path and the weight of all shards below it, and the smallest draw wins. A
+child is thus chosen in proportion to its weight, and a changed weight moves rows
+only where it changes draws: two shards that exchange weight inside a rack leave all
+other racks and regions as they were, and a subtree that gains takes rows only
+from its siblings, by way of its ancestors where these gain too.
+
+``grown`` adds a shard as a child of the root. No other draw changes by that, so it
+takes rows only into itself.
 
 Results for odd input: a null text has size 1 and checksum 0; rows with a null
-key share one shard; repeated rows land together in slots of their own.
+key are drawn as the empty key and share one shard; repeated rows land together in slots of their own;
+texts of any length and other columns don't matter; existing columns of the trees' names
+are replaced; no rows give no rows. Ties of draws go to the first child.
 """
 
 from __future__ import annotations
@@ -16,54 +22,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_within, read
+from .common import hex_draw, rank_within, read
 
-#: A tree is a shard's number or a list of trees.
-Tree = "int | list"
+#: A tree is a shard's number or a dict from names to trees.
+Tree = "int | dict"
 
 
-def default_tree(shards: int, per_rack: int = 2, racks: int = 2) -> list:
+def default_tree(shards: int, per_rack: int = 2, racks: int = 2) -> dict:
     """Shards in order, ``per_rack`` to a rack and ``racks`` racks to a region."""
-    leaves = list(range(shards))
-    rack = [leaves[i : i + per_rack] for i in range(0, shards, per_rack)]
-    return [rack[i : i + racks] for i in range(0, len(rack), racks)]
+    tree: dict = {}
+    for s in range(shards):
+        rack = s // per_rack
+        tree.setdefault(f"region{rack // racks}", {}).setdefault(f"rack{rack}", {})[f"shard{s}"] = s
+    return tree
+
+
+def grown(tree: dict, shard: int) -> dict:
+    """The tree with one more shard, in a region of its own."""
+    return {**tree, f"region of shard{shard}": shard}
 
 
 def leaves(tree) -> list[int]:
-    return [tree] if isinstance(tree, int) else [x for t in tree for x in leaves(t)]
+    return [tree] if isinstance(tree, int) else [x for t in tree.values() for x in leaves(t)]
 
 
-def draw(key: str, shard: int, weight: float = 1.0) -> Column:
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit("shard"), F.lit(shard), F.col(key)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+def draw(key: str, path: str, weight: float) -> Column:
+    """The draw of the node at ``path``."""
+    unit = (hex_draw(path, F.col(key)) + F.lit(0.5)) * F.lit(2.0**-52)
     return -F.log(unit) / F.lit(float(weight))
 
 
-def descend(tree, draws: dict[int, Column]) -> Column:
-    """The shard reached from the root; the first child wins a tie."""
+def descend(tree, key: str, weights: dict[int, float], path: str = "") -> Column:
+    """The shard reached from the root."""
     if isinstance(tree, int):
         return F.lit(tree)
-    best = lambda t: F.least(*[draws[x] for x in ls]) if len(ls := leaves(t)) > 1 else draws[ls[0]]
-    out = descend(tree[-1], draws)
-    for i in range(len(tree) - 2, -1, -1):
-        rest = [draws[x] for t in tree[i + 1 :] for x in leaves(t)]
-        least = F.least(*rest) if len(rest) > 1 else rest[0]
-        out = F.when(best(tree[i]) <= least, descend(tree[i], draws)).otherwise(out)
+    below = {f"{path}/{name}": t for name, t in tree.items()}
+    heavy = {p: sum(weights.get(x, 1.0) for x in leaves(t)) for p, t in below.items()}
+    open_ = [p for p in below if heavy[p] > 0]
+    if not open_:
+        raise ValueError(f"nothing below {path or '/'} has weight")
+    ways = [descend(below[p], key, weights, p) for p in open_]
+    if len(ways) == 1:
+        return ways[0]
+    least = F.array_min(F.array(*[F.struct(draw(key, p, heavy[p]).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(open_)]))
+    return F.element_at(F.transform(F.array(least["i"]), lambda c: _choose(c, ways)), 1)
+
+
+def _choose(c: Column, ways: list[Column]) -> Column:
+    out = ways[-1]
+    for i in range(len(ways) - 2, -1, -1):
+        out = F.when(c == i, ways[i]).otherwise(out)
     return out
 
 
-def assign(df: DataFrame, trees: dict[str, list], key: str = "doc_id", weights: dict[int, float] | None = None) -> DataFrame:
-    """Add one shard column for each named tree; existing columns of these names are replaced."""
-    every = sorted({x for t in trees.values() for x in leaves(t)})
-    names = {x: f"__draw{x}" for x in every}
-    out = df.withColumns({n: draw(key, x, (weights or {}).get(x, 1.0)) for x, n in names.items()})
-    out = out.withColumns({k: descend(t, {x: F.col(names[x]) for x in leaves(t)}).cast("int") for k, t in trees.items()})
-    return out.drop(*names.values())
+def assign(df: DataFrame, trees: dict[str, dict], key: str = "doc_id", weights: dict[int, float] | None = None) -> DataFrame:
+    """Add one shard column for each named tree."""
+    return df.withColumns({name: descend(t, key, weights or {}).cast("int") for name, t in trees.items()})
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = assign(rows, {"shard": default_tree(shards), "grown_shard": default_tree(shards + 1)})
+    tree = default_tree(shards)
+    placed = assign(rows, {"shard": tree, "grown_shard": grown(tree, shards)})
     placed = rank_within(placed, "shard", ["doc_id", "size", "text_crc32"], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
