@@ -8,11 +8,15 @@ source's mix of sizes and its words come within about one large document of the
 target. The order is completed by a seeded hash and the key, so reruns agree.
 
 Targets share the total by weight; a target stops at ``cap`` times its source's
-words, and the excess is shared again by weight among the others.
+words, and the excess is shared again by weight among the others. A round of that is
+one aggregate over the table of sources, which stays distributed: tables of hosts may
+have as many sources as rows.
 
 Results for odd input: null or empty texts have size 0 and may be taken like
 others; null sources form one source, last in order; a source without words has
-target 0 and takes nothing; no rows give no rows.
+target 0 and takes nothing; rows may share a key, a source's name and size (they tie,
+and are interchangeable) or have no key; texts are counted whole; other columns
+are left behind; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,52 +24,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_frame, rank_within, read, word_count
+from .common import cut, hex_draw, rank_within, read, word_count
 
 CAP = 3.0
 
 
-def targets(sizes: dict, weights: dict, cap: float = CAP) -> dict:
-    """Target words of each source."""
-    left, out, open_ = float(sum(sizes.values())), {}, {s for s in sizes if sizes[s] > 0}
-    out = {s: 0.0 for s in sizes if s not in open_}
-    while open_:
-        total = sum(weights[s] for s in open_)
-        over = {s for s in open_ if left * weights[s] / total > cap * sizes[s]}
-        if not over:
-            return out | {s: left * weights[s] / total for s in open_}
-        for s in over:
-            out[s] = cap * sizes[s]
-            left -= out[s]
-        open_ -= over
-    return out
+def cycle_weights(sources: DataFrame) -> DataFrame:
+    """Weights 1, 2, 3, repeating, by code point of ``source``, null last."""
+    ranked = rank_within(sources.withColumn("__all", F.lit(0)), "__all", ["source"], "__nth").drop("__all")
+    return ranked.withColumn("weight", (F.col("__nth") % 3 + 1).cast("double")).drop("__nth")
 
 
-def cycle_weights(sources: list) -> dict:
-    """1, 2, 3, repeating, by code point, null last."""
-    order = sorted((s for s in sources if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sources)
-    return {s: 1 + i % 3 for i, s in enumerate(order)}
+def targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
+    """``sources`` (source_size, weight) with ``target``, the words that each shall give."""
+    sums = lambda on: sources.agg(F.sum(F.when(on, cap * F.col("source_size"))), F.sum(F.when(~on, F.col("weight"))), F.count(F.when(on, 1))).first()
+    total = float(sources.agg(F.sum("source_size")).first()[0] or 0)
+    left, weight, full = total, float(sources.agg(F.sum("weight")).first()[0] or 1), 0
+    over = lambda: F.lit(left) * F.col("weight") / F.lit(weight) > cap * F.col("source_size")
+    while True:  # the share of a weight only grows, so full sources stay full
+        given, open_, count = sums(over())
+        if count == full or not open_:
+            break
+        left, weight, full = total - float(given or 0), float(open_), count
+    return sources.withColumn("target", F.when(over(), cap * F.col("source_size")).otherwise(F.lit(left) * F.col("weight") / F.lit(weight)))
 
 
 def mix(docs: DataFrame, weights=cycle_weights, cap: float = CAP, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies.
 
-    ``weights`` maps the list of sources to a weight for each. The sources' totals
-    come to the driver: one row for each source.
+    ``weights`` adds ``weight``, a positive double, to a table with one row for each ``source``.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
-    rows = rows.withColumn("mix", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    placed = rank_within(rows, "source", ["size", "mix", "doc_id"], "nth")
-    sizes = {r[0]: r[1] for r in placed.groupBy("source").agg(F.sum("size")).collect()}
-    goal = targets(sizes, weights(list(sizes)), cap)
-    table = local_frame(spark, [(s, n, goal[s], goal[s] / n if n else 0.0) for s, n in sizes.items()], "name string, source_size long, target double, rate double")
-    if len(sizes) <= 100_000:
-        table = F.broadcast(table)
+    placed = rank_within(rows.withColumn("mix", hex_draw(str(seed), F.col("doc_id"), digits=15)), "source", ["size", "mix", "doc_id"], "nth")
+    table = cut(weights(cut(placed.groupBy("source").agg(F.sum("size").alias("source_size")))))
+    table = targets(table, cap).withColumnRenamed("source", "name")
     joined = placed.join(table, placed["source"].eqNullSafe(table["name"]))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 52)) / float(1 << 52)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    offset = hex_draw(str(seed), "offset", F.col("source")) * F.lit(2.0**-52)
     crossed = F.floor((F.col("nth") + 1) * F.col("rate") + offset) - F.floor(F.col("nth") * F.col("rate") + offset)
-    return joined.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return joined.withColumn("rate", rate).select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
