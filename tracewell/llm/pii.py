@@ -9,20 +9,31 @@ values different ones:
 - numbers are one integer of a domain a*b, cut into halves modulo a and b that
   take turns adding a keyed hash of the other (an alternating network over mixed
   radices is a permutation of the domain for any a and b);
-- cards keep their first two digits and get a fresh check digit; telephone numbers keep
-  country code and punctuation; dates move within 400 years (146,097 = 189 * 773
-  days), so the same day in two notations stays the same day;
+- cards keep their first two digits and get a fresh check digit;
+- telephone numbers keep country code and punctuation, which don't matter to the
+  digits; ten digits after no code or +1 are permuted among those that begin with 0 or 1, or among the others;
+- dates move within 1800 to 2199, those up to the 12th of a month and those after it
+  each among themselves, so no order of day and month makes two dates look alike, and
+  the same day in two notations stays the same day;
 - the local part of an e-mail address is a Feistel network over its characters,
-  each moved inside its class (digit, small or capital letter); the domain stays.
+  each moved inside its class (digit, small or capital letter); a single such character
+  gets its place in a keyed order of its class. The domain stays, and is hashed with the rest.
+
+The key is a secret of the caller: the pseudonyms of who knows it can be undone. The
+query and the pipeline read it from ``spark.tracewell.pii.key``; where that is unset,
+a random one is made and kept there for the session, so values are linked within one
+application and not between two.
 
 What looks like such a value and fails its check is left as it is, as is every
 text without a value. Results for odd input: null text stays null with count 0;
-texts of any length are worked through whole; repeated rows give equal results;
-other columns are carried along, and new columns replace ones of the same name.
+texts of any length are worked through whole; repeated rows give equal results; no rows give no rows;
+other columns are carried along, whatever their names, and the new count replaces one of the same name.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +46,8 @@ IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]
 PHONE = r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d|[.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
+#: Country codes of one and two digits; all others have three.
+CODES = "^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: First two digits of the card networks.
 ISSUERS = "^(4[0-9]|5[1-5]|2[2-7]|30|3[4-9]|6[0245])"
 PATTERN = "|".join((EMAIL, DATE, IPV4, PHONE, SSN, CARD))
@@ -52,7 +65,7 @@ def _hash(key: str, kind: str, i: str, x: str) -> str:
 def feistel(value: str, a: str, b: str, key: str, kind: str) -> str:
     """SQL of the keyed permutation of a whole number in [0, a*b)."""
     part = lambda x, m: f"pmod(cast(conv(substr({_hash(key, kind, 'i', x)}, 1, 14), 16, 10) as bigint), {m})"
-    start = f"named_struct('l', cast({value} div ({b}) as bigint), 'r', cast(pmod({value}, {b}) as bigint))"
+    start = f"named_struct('l', cast(({value}) div ({b}) as bigint), 'r', cast(pmod({value}, {b}) as bigint))"
     even = f"named_struct('l', pmod(s.l + {part('s.r', a)}, {a}), 'r', s.r)"
     odd = f"named_struct('l', s.l, 'r', pmod(s.r + {part('s.l', b)}, {b}))"
     return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> if(i % 2 = 0, {even}, {odd}), s -> s.l * ({b}) + s.r)"
@@ -111,31 +124,50 @@ def ipv4(m: str, key: str) -> str:
 
 
 def phone(m: str, key: str) -> str:
-    head = f"regexp_extract({m}, '^(\\\\+1|\\\\+[2-9]\\\\d?\\\\d?(?=[ .(-])|\\\\+[2-9]\\\\d|)', 1)"
-    ten = f"concat(cast(v div 1000000000L + 2 as string), lpad(cast(pmod(v, 1000000000L) as string), 9, '0'))"
-    us = let(feistel("((cast(substr(d, 1, 1) as bigint) - 2) * 1000000000L + cast(substr(d, 2) as bigint))", "80000L", "100000L", key, "phone"), "v", ten)
-    new = f"if(length(d) = 10 and substr(d, 1, 1) >= '2', {us}, {permuted_digits('d', key, 'phone')})"
-    return let(head, "h", let(f"substr({m}, length(h) + 1)", "t", let(digits("t"), "d", let(new, "f", f"concat(h, {fill('t', 'f')})"))))
+    def ten(first: int, a: str, kind: str) -> str:
+        value = feistel(f"((cast(substr(r, 1, 1) as bigint) - {first}) * 1000000000L + cast(substr(r, 2) as bigint))", a, "100000L", key, kind)
+        return let(value, "v", f"concat(cast(v div 1000000000L + {first} as string), lpad(cast(pmod(v, 1000000000L) as string), 9, '0'))")
+
+    plain = f"case when length(r) <> 10 or length(h) > 1 or h = '7' then {permuted_digits('r', key, 'phone')} when r < '2' then {ten(0, '20000L', 'phone01')} else {ten(2, '80000L', 'phone')} end"
+    return let(digits(m), "d", let(f"if({m} like '+%', regexp_extract(d, {q(CODES)}, 1), '')", "h", let("substr(d, length(h) + 1)", "r", let(f"concat(h, {plain})", "f", fill(m, "f")))))
+
+
+#: The first day of the 400 years.
+START = "date'1800-01-01'"
+
+
+def moved_date(y: str, key: str) -> str:
+    """SQL of the pseudonym of a date: of the 57,600 up to the 12th of a month, or of the 88,497 after it."""
+    months = f"((year({y}) - 1800) * 12 + month({y}) - 1)"
+    early = let(feistel(f"cast({months} * 12 + day({y}) - 1 as bigint)", "240L", "240L", key, "date12"), "v", f"date_add(add_months({START}, cast(v div 12 as int)), cast(pmod(v, 12) as int))")
+    before = f"datediff(add_months({START}, k), {START}) - 12 * k"  # of the later days, those before month k
+    month = f"array_max(filter(sequence(greatest(cast(v * 4800 div 88497 as int) - 4, 0), least(cast(v * 4800 div 88497 as int) + 4, 4799)), k -> {before} <= v))"
+    late = let(feistel(f"cast(datediff({y}, {START}) - 12 * {months} - 12 as bigint)", "9L", "9833L", key, "date"), "v", let(month, "k", f"date_add(add_months({START}, k), cast(12 + v - ({before}) as int))"))
+    return f"if(day({y}) <= 12, {early}, {late})"
 
 
 def date(m: str, key: str) -> str:
     shape = f"case when {m} rlike '^[0-9]{{4}}-' then 'yyyy-MM-dd' when {m} rlike '^[0-9]{{4}}/' then 'yyyy/MM/dd' when {m} like '%.%' then 'dd.MM.yyyy' when cast(substr({m}, 1, 2) as int) > 12 then 'dd/MM/yyyy' else 'MM/dd/yyyy' end"
-    moved = let(feistel("cast(datediff(y, date'1800-01-01') as bigint)", "189L", "773L", key, "date"), "v", "date_format(date_add(date'1800-01-01', cast(v as int)), p)")
-    return let(shape, "p", let(f"cast(try_to_timestamp({m}, p) as date)", "y", f"if(y >= date'1800-01-01' and y < date'2200-01-01', {moved}, {m})"))
+    return let(shape, "p", let(f"cast(try_to_timestamp({m}, p) as date)", "y", f"if(y >= {START} and y < date'2200-01-01', date_format({moved_date('y', key)}, p), {m})"))
 
 
 def email(m: str, key: str) -> str:
     def moved(half: str, other: str) -> str:
         code = "ascii(c)"
-        k = "cast(conv(substr(z, j * 2 + 1, 2), 16, 10) as int)"
+        k = "cast(conv(substr(z, j % 32 * 2 + 1, 2), 16, 10) as int)"
         one = lambda base, size: f"chr({base} + pmod({code} - {base} + {k}, {size}))"
         body = f"array_join(transform(split({half}, ''), (c, j) -> case when c between '0' and '9' then {one(48, 10)} when c between 'a' and 'z' then {one(97, 26)} when c between 'A' and 'Z' then {one(65, 26)} else c end), '')"
-        return let(_hash(key, "email", "i", other), "z", body)
+        return let(_hash(key, "email", "i", f"concat({other}, '@', o)"), "z", body)
 
-    local = f"substring_index({m}, '@', 1)"
-    start = f"named_struct('l', substr(w, 1, cast(length(w) div 2 as int)), 'r', substr(w, cast(length(w) div 2 as int) + 1))"
+    single = "regexp_extract(w, '[0-9A-Za-z]', 0)"
+    first = "case when s between '0' and '9' then 48 when s between 'a' and 'z' then 97 else 65 end"
+    ranked = f"array_sort(transform(sequence(b, b + if(b = 48, 9, 25)), x -> named_struct('h', {_hash(key, 'letter', 'x', 'o')}, 'x', x)))"
+    alone = let(single, "s", let(first, "b", f"replace(w, s, chr(element_at({ranked}, ascii(s) - b + 1).x))"))
+    start = "named_struct('l', substr(w, 1, cast(length(w) div 2 as int)), 'r', substr(w, cast(length(w) div 2 as int) + 1))"
     step = f"if(i % 2 = 0, named_struct('l', {moved('s.l', 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {moved('s.r', 's.l')}))"
-    return let(local, "w", f"concat(aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step}, s -> concat(s.l, s.r)), substr({m}, length(w) + 1))")
+    whole = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step}, s -> concat(s.l, s.r))"
+    new = f"case length(regexp_replace(w, '[^0-9A-Za-z]', '')) when 0 then w when 1 then {alone} else {whole} end"
+    return let(f"substring_index({m}, '@', 1)", "w", let(f"substr({m}, length(w) + 2)", "o", f"concat({new}, '@', o)"))
 
 
 def pseudonym(m: str, key: str) -> str:
@@ -144,15 +176,27 @@ def pseudonym(m: str, key: str) -> str:
     return f"case when contains({m}, '@') then {email(m, key)} when {whole(DATE)} then {date(m, key)} when {whole(IPV4)} then {ipv4(m, key)} when {whole(PHONE)} then {phone(m, key)} when {whole(SSN)} then {ssn(m, key)} else {card(m, key)} end"
 
 
-def pseudonymise(docs: DataFrame, key: str = "tracewell", text: str = "text", count: str = "n_pii") -> DataFrame:
+def secret(spark: SparkSession) -> str:
+    """The session's key, made at random where none is set."""
+    name = "spark.tracewell.pii.key"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name)
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_pii") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and how many values were."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    taken = {c.lower() for c in docs.columns}
+    found_in, new_in = (next(n for n in (f"__{name}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for name in ("found", "new"))
     p, t = q(PATTERN), f"`{text}`"
     found = f"if({t} rlike '@|[0-9]{{2}}|[0-9][.]', regexp_extract_all({t}, {p}, 0), array())"
-    out = docs.withColumn("__found", F.expr(found)).withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
-    joined = f"if(size(__found) > 0, array_join(flatten(transform(split({t}, {p}, -1), (g, i) -> if(i = 0, array(g), array(__new[i - 1], g)))), ''), {t})"
-    changed = "if(__found is null, 0L, cast(size(filter(arrays_zip(__found, __new), z -> z.__found <> z.__new)) as bigint))"
-    return out.withColumns({text: F.expr(joined), count: F.expr(changed)}).drop("__found", "__new")
+    out = docs.withColumn(found_in, F.expr(found)).withColumn(new_in, F.expr(f"transform({found_in}, m -> {pseudonym('m', key)})"))
+    joined = f"if(size({found_in}) > 0, array_join(flatten(transform(split({t}, {p}, -1), (g, i) -> if(i = 0, array(g), array({new_in}[i - 1], g)))), ''), {t})"
+    changed = f"if({found_in} is null, 0L, cast(size(filter(zip_with({found_in}, {new_in}, (x, y) -> x <> y), z -> z)) as bigint))"
+    return out.withColumns({text: F.expr(joined), count: F.expr(changed)}).drop(found_in, new_in)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark))
