@@ -7,8 +7,10 @@ mean a closer language: the language with the smallest
 ``phrases * log2(sample length) / text length`` wins, ties by name.
 
 Many parses run in lockstep: texts are cut into segments of ``SEGMENT``
-characters (a cut ends a phrase), and one numpy step moves all segments of a
-batch through all automata by one character. No text is shortened.
+characters, and one numpy step moves all segments of a batch through all automata
+by one character. A segment first begins at the root; it is parsed again from where the
+one before ends, until no beginning changes, so phrases go on over cuts. No text is
+shortened.
 
 Bounds (parameters of ``fit``): about ``rows_per_lang`` labelled rows for each
 language, chosen by a hash of the key, and ``chars_per_lang`` characters of them. All letters
@@ -17,7 +19,8 @@ beyond the offsets of one dense table, the model looks its edges up in a sorted
 
 Results for odd input: a null text or one without a letter gets ``und`` and
 score 0; with no labelled rows at all every text gets ``und``; rows with a null
-key are predicted and never learned from; repeated rows give repeated results.
+key are predicted and never learned from; repeated rows give repeated results; languages that cost
+the same tie by name; texts of any length are parsed whole.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import hold, map_rows, read
 
-SEGMENT = 512
+SEGMENT = 4096
 UNKNOWN = "und"
 #: Classes of characters: padding, the gap between words, a letter that no sample has, then letters.
 PAD, GAP, OTHER, FIRST = 0, 1, 2, 3
@@ -143,36 +146,47 @@ class Model:
         gap[1:] &= gap[:-1]
         return codes[~gap]
 
+    def _run(self, lanes: np.ndarray, filled: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States (languages by lanes) after the lanes' symbols, and how many phrases ended on the way."""
+        order = np.argsort(-filled, kind="stable")
+        turned, filled, state = np.ascontiguousarray(lanes[order].T), filled[order], state[:, order]
+        ended = np.zeros(state.shape, np.int32)
+        mask = self.table.dtype.type((1 << self.bits) - 1)
+        active = np.searchsorted(-filled, -np.arange(int(filled.max(initial=0))), side="left")  # lanes longer than the step
+        for step, n in enumerate(active.tolist()):
+            v = self._follow(state[:, :n], turned[step, :n].astype(self.table.dtype, copy=False))
+            state[:, :n] = v & mask
+            ended[:, :n] += v >> self.bits
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[:, back], ended[:, back]
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
-        owner = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
+        size = np.array([-(-len(t) // SEGMENT) for t in texts], np.int64)
+        owner = np.repeat(np.arange(len(texts)), size)
         if not len(owner):
             return counts
         lanes = np.zeros((len(owner), SEGMENT), self.cls.dtype)
-        at = 0
-        for t in texts:
-            n = -(-len(t) // SEGMENT)
-            flat = lanes[at : at + n].reshape(-1)
-            flat[: len(t)] = t
-            at += n
-        order = np.argsort(-(lanes != PAD).sum(1), kind="stable")
-        lanes, owner = lanes[order], owner[order]
-        filled = (lanes != PAD).sum(1)
-        lanes = np.ascontiguousarray(lanes.T)
+        filled = np.full(len(owner), SEGMENT)
+        for t, at, n in zip(texts, np.cumsum(size) - size, size):
+            lanes[at : at + n].reshape(-1)[: len(t)] = t
+            if n:
+                filled[at + n - 1] = len(t) - (n - 1) * SEGMENT
+        later = np.concatenate([[False], owner[1:] == owner[:-1]])
         roots = np.array(self.roots, self.table.dtype)[:, None]
-        state = np.repeat(roots, len(owner), 1)
-        ended = np.zeros(state.shape, np.int32)
-        mask = self.table.dtype.type((1 << self.bits) - 1)
-        active = np.searchsorted(-filled, -np.arange(SEGMENT), side="left")  # lanes longer than the step, as they are sorted
-        for step in range(SEGMENT):
-            n = int(active[step])
-            if not n:
+        start = np.repeat(roots, len(owner), 1)
+        end, ended = self._run(lanes, filled, start)
+        while True:
+            want = np.where(later, np.roll(end, 1, 1), roots)
+            again = np.nonzero((want != start).any(0))[0]
+            if not len(again):
                 break
-            v = self._follow(state[:, :n], lanes[step, :n].astype(self.table.dtype, copy=False))
-            state[:, :n] = v & mask
-            ended[:, :n] += v >> self.bits
-        ended += state != roots
+            start[:, again] = want[:, again]
+            end[:, again], ended[:, again] = self._run(lanes[again], filled[again], want[:, again])
+        last = np.concatenate([~later[1:], [True]])
+        ended += (end != roots) & last
         for i in range(len(self.langs)):
             counts[:, i] = np.bincount(owner, ended[i], len(texts))
         return counts
