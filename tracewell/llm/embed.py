@@ -14,7 +14,9 @@ and not with the links.
 
 Results for odd input: vectors that are null, empty, zero or hold a null or
 non-finite component, and vectors with a null label, link with nothing; vectors
-of different lengths don't link; repeated ids each give a row.
+of different lengths don't link; repeated ids each give a row; a row with a null id
+keeps null as its component, unless a vector with an id is in reach. Vectors may have any
+length; other columns are left behind; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +105,7 @@ def _tiles(threshold: float):
                 root = forest(len(ids), place[p], place[q])
                 links = np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))
                 hit = np.nonzero(links)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(links[hit].astype(np.int64)), pa.array(ids[by_id[root[place[hit]]]], pa.int64())], ["rep", "links", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(links[hit].astype(np.int64)), pa.array(ids[by_id[root[place[hit]]]], pa.int64())], ["node", "links", "near"])
 
     return run
 
@@ -111,26 +113,29 @@ def _tiles(threshold: float):
 def near_vectors(rows: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     v = F.col("v")
-    rows = rows.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col(key).alias("vec_id"), F.col(vector).cast(kind).alias("v"), F.col(label).alias("label"))
     sound = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("k", F.when(sound, F.struct(F.xxhash64(F.lit("a"), v, "label").alias("k1"), F.xxhash64(F.lit("b"), v, "label").alias("k2"))))
     reps = rows.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first(v).alias("v"))
-    reps = cut(reps.withColumn("size", F.size("v")))
+    reps = cut(reps.withColumns({"size": F.size("v"), "node": F.monotonically_increasing_id()}))
     groups = reps.groupBy("label", "size").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = reps.join(groups, ["label", "size"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    packed = dealt.groupBy("label", "size", "blocks", "at").agg(F.collect_list(F.struct("rep", "copies", F.col("v").alias("vec"))).alias("part"))
+    dealt = reps.join(groups, ["label", "size"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    packed = dealt.groupBy("label", "size", "blocks", "at").agg(F.collect_list(F.struct("node", "copies", F.col("v").alias("vec"))).alias("part"))
     pairs = packed.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = pairs.select("label", "size", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "part")
     tiles = pairs.groupBy("label", "size", "i", "j").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("both"))
     both = F.flatten(F.transform("both", lambda b: b["part"]))
     tiles = tiles.select(F.size(F.col("both")[0]["part"]).alias("same"), both.alias("all"), "size")
-    flat = tiles.select("same", F.transform("all", lambda r: r["rep"]).alias("ids"), F.transform("all", lambda r: r["copies"]).alias("copies"), F.flatten(F.transform("all", lambda r: r["vec"])).alias("flat"), "size")
-    found = cut(flat.mapInArrow(_tiles(threshold), "rep long, links long, near long"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    known = reps.select("k", "rep", "copies").join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    flat = tiles.select("same", F.transform("all", lambda r: r["node"]).alias("ids"), F.transform("all", lambda r: r["copies"]).alias("copies"), F.flatten(F.transform("all", lambda r: r["vec"])).alias("flat"), "size")
+    found = cut(flat.mapInArrow(_tiles(threshold), "node long, links long, near long"))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    comps = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    known = reps.select("k", "node", "rep", "copies").join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(least, "component").select("k", "copies", "links", "component_id")
     out = rows.select("vec_id", "k").join(known, "k", "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
