@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -169,11 +170,15 @@ def test_transform_orders_like_sorting():
 # ---- mixing
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100}, {"a": 1, "b": 3}) == {"a": 50.0, "b": 150.0}
-    got = mixing.targets({"a": 10, "b": 90, "z": 0}, {"a": 9, "b": 1, "z": 5})
-    assert got["a"] == 30.0 and got["b"] == 70.0 and got["z"] == 0.0 and mixing.targets({}, {}) == {}
-    assert mixing.cycle_weights(["b", None, "a", "B", "é"]) == {"B": 1, "a": 2, "b": 3, "é": 1, None: 2}
+def test_targets(spark):
+    def goals(rows):
+        return {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long, weight double")).collect()}
+
+    assert goals([("a", 100, 1.0), ("b", 100, 3.0)]) == {"a": 50.0, "b": 150.0}
+    assert goals([("a", 10, 9.0), ("b", 90, 1.0), ("z", 0, 5.0)]) == {"a": 30.0, "b": 70.0, "z": 0.0} and goals([]) == {}
+    assert goals([("a", 1, 50.0), ("b", 10, 40.0), ("c", 1000, 1.0), (None, 0, 1.0)]) == {"a": 3.0, "b": 30.0, "c": 978.0, None: 0.0}
+    got = mixing.cycle_weights(spark.createDataFrame([(x,) for x in ("b", None, "a", "B", "é")], "source string")).collect()
+    assert {r["source"]: r["weight"] for r in got} == {"B": 1, "a": 2, "b": 3, "é": 1, None: 2}
 
 
 def test_mixing_query(spark):
@@ -186,6 +191,14 @@ def test_mixing_query(spark):
     assert (sums["size"] == sums.said).all() and (sums.target <= 3 * sums["size"] + 1e-6).all() and ((sums.taken - sums.target).abs() <= sums.most + 1).all()
     assert (x.taken <= 3 * x["size"]).all()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.op7_mixing(spark, SF).collect()))
+    want = {}
+    for source, g in x.groupby("source", dropna=False):
+        name = "" if source != source or source is None else source
+        draw = lambda *parts, n=13: int(hashlib.md5("".join(f"{p}|" for p in ("7", *parts)).encode()).hexdigest()[:n], 16)
+        rate, at = g.target.iloc[0] / g.source_size.iloc[0], draw("offset", name) * 2.0**-52
+        for size, _, i in sorted((s, draw(i, n=15), i) for s, i in zip(g["size"], g.doc_id)):  # one prefix sum, in order
+            want[i], at = (math.floor(at + rate) - math.floor(at)) * size, at + rate
+    assert sum(want[i] != t for i, t in zip(x.doc_id, x.taken)) <= 2  # a boundary may fall into a sum's rounding
 
 
 def test_mixing_odd_rows(spark):
@@ -255,10 +268,65 @@ def test_a_large_group_around_a_hub(spark):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 10
 
 
-def test_near_duplicates_empty(spark):
+def test_near_duplicates_odd_rows(spark):
+    """No rows; copies; rows that share an id, or have none; very long texts; a pair that a polynomial hash takes for one."""
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = minhash.near_duplicates(spark.createDataFrame([(7, "a b c d e"), (7, "a b c d e"), (None, "q")], "doc_id long, text string")).collect()
     assert sorted((x["doc_id"] or 0, x["kept"]) for x in same) == [(0, True), (7, True), (7, True)]
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    long = " ".join(f"v{r.randrange(10**6)}" for _ in range(60_000))
+    near = lambda i: " ".join([*base[:i], "other", *base[i + 1 :]])
+    rows = [(5, " ".join(base)), (None, near(0)), (3, near(99)), (3, "something else than that"), (9, long), (None, long + " more"), (8, "x " + long), (None, "alone by itself it is"), (11, near(0).upper())]
+    got = minhash.near_duplicates(spark.createDataFrame([(*x, b"z", 1) for x in rows], "doc_id long, text string, digest binary, node int")).collect()
+    assert sorted((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in got) == [(0, 0, True), (0, 3, False), (0, 8, False), (3, 3, True), (3, 3, True), (5, 3, False), (8, 8, True), (9, 8, False), (11, 3, False)]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = [(1, f"one {thue} two three"), (2, f"one {thue.translate(str.maketrans('ab', 'ba'))} two three")]
+    assert {x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(two, "doc_id long, text string"), 4).collect()} == {1, 2}
+
+
+def test_regions_over_parts_and_tiles(spark, monkeypatch):
+    """Small leaves, tiles and chunks, and broken hubs, change no result."""
+    r = random.Random(22)
+    base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+    texts = [" ".join(base)]
+    for k in range(250):
+        near = list(base)
+        for i in r.sample(range(80), 1 + k % 5):
+            near[i] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(near))
+    sets = word_sets(texts, 5)
+    want = plain_components(len(texts), lambda i, j: i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    find = lambda: [x["component_id"] for x in sorted(minhash.near_duplicates(docs).collect(), key=lambda x: x["doc_id"])]
+    monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "SMALL", 0)
+    assert find() == want and len(set(want)) > 1
+    monkeypatch.setattr(minhash, "_candidate_pairs", lambda rows, least: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    assert find() == want  # the tiles alone find all links
+
+
+def test_orders_are_looked_through(monkeypatch):
+    """Neighbours and hubs at the depth that a region needs, also where it spans chunks."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, 96).astype(np.uint8)
+    label = np.where(rng.random((300, 96)) < 0.1, rng.integers(0, 256, (300, 96)), base).astype(np.uint8)
+    label[:, :4] = base[:4]
+    label[150:, 4:] = rng.integers(0, 256, (150, 92))  # and rows that are near nothing
+    label = label[np.lexsort(label.T[::-1])]
+    p, q = minhash.candidates(label, 57)
+    assert ((label[p] == label[q]).sum(1) >= 57).all() and len(set(embed.forest(300, p, q).tolist())) <= 155
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(300, np.int64)), pa.array(np.full(300, 9)), pa.array(np.arange(300)), pa.array([x.tobytes() for x in label], pa.binary())], ["tree", "key", "node", "label"])
+    monkeypatch.setattr(minhash, "CHUNK", 100)
+    batches = [batch.slice(i, 50) for i in range(0, 300, 50)]
+    named = [b for b in minhash._named(iter(batches))]
+    best = max((b.column(2)[0].as_py(), b.column(3)[0].as_py(), b.column(4)[0].as_py()) for b in named)
+    assert len(named) == 3
+    pairs = [b.to_pylist() for b in minhash._stars(57, {(0, 9): best[1:]})(iter(batches))]
+    found = [(x["a"], x["b"]) for b in pairs for x in b if x["a"] != x["b"]]
+    assert len(set(embed.forest(300, np.array([a for a, _ in found]), np.array([b for _, b in found])).tolist())) <= 155
 
 
 def test_shared_counts():
@@ -291,22 +359,46 @@ def test_shards_grow_into_the_new_one_only(spark):
         assert sorted(g.slot) == list(range(len(g)))
 
 
+def plain_shard(tree, key, weights, path=""):
+    while not isinstance(tree, int):
+        def draw(name, path=path, tree=tree):
+            p = f"{path}/{name}"
+            unit = (int(hashlib.md5(f"{p}|{key}|".encode()).hexdigest()[:13], 16) + 0.5) * 2.0**-52
+            return -math.log(unit) / sum(weights.get(x, 1.0) for x in sharding.leaves(tree[name]))
+
+        name = min((n for n in tree if sum(weights.get(x, 1.0) for x in sharding.leaves(tree[n]))), key=draw)
+        tree, path = tree[name], f"{path}/{name}"
+    return tree
+
+
+@pytest.mark.parametrize("weights", [{}, {3: 2.0}, {0: 1.5, 1: 0.5}, {2: 0.0, 3: 0.0}])
+def test_shards_against_a_plain_descent(spark, weights):
+    tree = sharding.grown(sharding.default_tree(8), 8)
+    got = sharding.assign(spark.range(800).withColumnRenamed("id", "doc_id"), {"s": tree}, weights=weights).collect()
+    assert [r["s"] for r in got] == [plain_shard(tree, r["doc_id"], weights) for r in got]
+
+
 def test_weights_confine_movement(spark):
+    """Shards that exchange weight inside a rack move rows there only; one that gains takes rows by way of its ancestors."""
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
     tree = sharding.default_tree(8)
-    a = sharding.assign(df, {"s": tree})
-    b = sharding.assign(df, {"s": tree}, weights={3: 2.0})
-    both = a.join(b.withColumnRenamed("s", "t"), "doc_id").where("s <> t")
-    assert {r["t"] for r in both.select("t").distinct().collect()} == {3}
-    counts = {r["s"]: r["count"] for r in b.groupBy("s").count().collect()}
+    before = sharding.assign(df, {"s": tree})
+    moved = lambda w: {(r["s"], r["t"]) for r in before.join(sharding.assign(df, {"t": tree}, weights=w), "doc_id").where("s <> t").select("s", "t").distinct().collect()}
+    assert moved({0: 1.5, 1: 0.5}) == {(1, 0)}
+    to = moved({3: 2.0})
+    assert {t for s, t in to if s > 3} <= {0, 1, 2, 3} and {t for s, t in to if s in (0, 1)} <= {2, 3} and {t for s, t in to if s == 2} == {3} and not [s for s, _ in to if s == 3]
+    counts = {r["s"]: r["count"] for r in sharding.assign(df, {"s": tree}, weights={3: 2.0}).groupBy("s").count().collect()}
     assert abs(counts[3] - 4000 * 2 / 9) < 150 and all(abs(n - 4000 / 9) < 120 for s, n in counts.items() if s != 3)
 
 
 def test_sharding_odd_rows(spark, tmp_path):
-    rows = [(1, None), (1, None), (None, "a"), (None, "é")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sharding.op9_sharding(spark, str(tmp_path)).collect()
-    assert len(got) == 4 and sorted(r["size"] for r in got) == [1, 1, 2, 3] and len({(r["shard"], r["slot"]) for r in got}) == 4
+    rows = [(1, None), (1, None), (None, "a"), (None, "é"), (2, "long " * 100_000)]
+    spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, shard int, slot int").write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = sharding.op9_sharding(spark, f"{tmp_path}/a").collect()
+    assert len(got) == 5 and sorted(r["size"] for r in got) == [1, 1, 2, 3, 500_001] and len({(r["shard"], r["slot"]) for r in got}) == 5
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert sharding.op9_sharding(spark, f"{tmp_path}/b").count() == 0
 
 
 # ---- vectors
@@ -336,6 +428,15 @@ def test_vectors_against_all_pairs(spark):
     assert embed.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_without_ids_and_of_many_dimensions(spark):
+    rng = np.random.default_rng(7)
+    wide = [rng.normal(size=1500).tolist() for _ in range(3)]
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2**60 + 1, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (None, None, 1), (4, [0.0, 1.0], None), (4, wide[0], 2), (5, [2 * x for x in wide[0]], 2), (6, wide[1], 2), (6, wide[1], 2)]
+    got = embed.near_vectors(spark.createDataFrame([(*r, "n") for r in rows], "vec_id long, embedding array<double>, label int, node string")).collect()
+    big = 2**60 + 1
+    assert sorted((x["vec_id"] or 0, x["n_links"], x["component_id"] or 0, x["kept"]) for x in got) == [(0, 0, 0, True), (0, 0, 0, True), (0, 2, big, False), (0, 2, big, False), (4, 0, 4, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (6, 1, 6, True), (big, 2, big, True)]
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 64)) * rng.choice([0.01, 1, 5], (300, 64))
