@@ -58,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to pseudonyms."""
-    done = pii.pseudonymise(docs.select(*COLUMNS))
+    done = pii.pseudonymise(docs.select(*COLUMNS), pii.secret(spark))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
