@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -35,8 +36,8 @@ from .common import hold, map_rows, read
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 #: Nodes of the trie with fewer tokens below are looked through for ones that may follow.
 FEW = 250
-#: Most states of a transducer (and remembered pairs of tokens), and most pieces in half of its memo. About 900 and 180 bytes each.
-LIMITS = (300_000, 450_000)
+#: Most states of a transducer (and five times its remembered pairs of tokens), and most pieces in half of its memo. About 300 and 180 bytes each.
+LIMITS = (400_000, 200_000)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,22 +115,42 @@ class Transducer:
             return True
         known = self.alive.get((before, node))
         if known is None:
-            if len(self.alive) >= self.limit:
+            if len(self.alive) >= self.limit // 5:
                 self.alive.clear()
             known = self.alive[before, node] = any(self._fits(before, t) for t in self.below[node])
         return known
 
     def reset(self) -> None:
-        start = (-1, (((), 0),))
-        self.key: list[tuple] = [start]
-        self.number: dict[tuple, int] = {start: 0}
-        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.final: list[tuple[int, ...]] = [()]
+        """Begin with the start state alone. A state is packed into bytes, and all transitions stand in one table."""
+        start = self._pack(-1, ((), ()), [])
+        self.key: list[bytes] = [start]
+        self.number: dict[bytes, int] = {start: 0}
+        self.go: dict[int, int] = {}  # state * 256 + byte to the next state and, above 32 bits, the number of what leaves
+        self.outs: list[tuple[int, ...]] = [()]
+        self.out_number: dict[tuple[int, ...], int] = {(): 0}
+
+    @staticmethod
+    def _pack(last: int, done: tuple, live: list) -> bytes:
+        """The last token that left, what the whole prefix would end with, and the hypotheses (undecided tokens, node)."""
+        ints = [last, len(done[0]), *done[0]]
+        for pending, node in live:
+            ints += (node, len(pending), *pending)
+        return array("i", ints).tobytes()
+
+    def _live(self, state: int) -> tuple[int, list]:
+        ints = memoryview(self.key[state]).cast("i").tolist()
+        live, at = [], 2 + ints[1]
+        done = (tuple(ints[2:at]), 0)
+        while at < len(ints):
+            end = at + 2 + ints[at + 1]
+            live.append((tuple(ints[at + 2 : end]), ints[at]))
+            at = end
+        return ints[0], [*live, done]
 
     def fits(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= self.limit:
+            if len(self.pairs) >= self.limit // 5:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._fits(a, b)
         return known
@@ -163,8 +184,8 @@ class Transducer:
             else:
                 j -= 1
 
-    def expand(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, live = self.key[state]
+    def expand(self, state: int, byte: int) -> int:
+        last, live = self._live(state)
         nxt, child, done = [], self.child, None
         for pending, node in live:
             to = child[node].get(byte)
@@ -177,33 +198,35 @@ class Transducer:
             if t >= 0 and done is None:  # the prefix has one encoding
                 if before < 0 or self.fits(before, t):
                     done = (*pending, t)
-        nxt.append((done, 0))
-        shared, first = 0, nxt[0][0]
-        if first:
-            width = min([len(p) for p, _ in nxt])
-            while shared < width and len({p[shared] for p, _ in nxt}) == 1:
-                shared += 1
-        out = first[:shared]
-        key = (out[-1] if shared else last, tuple([(p[shared:], n) for p, n in nxt]) if shared else tuple(nxt))
+        shared, width = 0, min([len(done), *[len(p) for p, _ in nxt]])
+        while shared < width and all(p[shared] == done[shared] for p, _ in nxt):
+            shared += 1
+        out = done[:shared]
+        key = self._pack(out[-1] if shared else last, (done[shared:], 0), [(p[shared:], n) for p, n in nxt] if shared else nxt)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.key)
             self.key.append(key)
-            self.step.append({})
-            self.final.append(key[1][-1][0])
-        made = self.step[state][byte] = (number, out)
+        which = self.out_number.get(out)
+        if which is None:
+            which = self.out_number[out] = len(self.outs)
+            self.outs.append(out)
+        made = self.go[state << 8 | byte] = which << 32 | number
         return made
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if len(self.key) > self.limit:
             self.reset()
-        step, state, out = self.step, 0, []
+        go, outs, state, out = self.go.get, self.outs, 0, []
         for byte in piece:
-            taken = step[state].get(byte) or self.expand(state, byte)
-            state = taken[0]
-            if taken[1]:
-                out.extend(taken[1])
-        out.extend(self.final[state])
+            made = go(state << 8 | byte)
+            if made is None:
+                made = self.expand(state, byte)
+            state = made & 0xFFFFFFFF
+            if made > 0xFFFFFFFF:
+                out += outs[made >> 32]
+        ints = memoryview(self.key[state]).cast("i")
+        out += ints[2 : 2 + ints[1]].tolist()
         return tuple(out)
 
 
@@ -234,6 +257,10 @@ class Codec:
         self.fst = Transducer(ranks, limits[0])
         self.pieces = Pieces(self.fst, limits[1])
         self.decimal = {i: str(i) for i in ranks.values()}
+        #: Steps of the decoder: from an unfinished sequence, by a token, to text and what is unfinished then;
+        #: and the texts of tokens that begin and end between code points.
+        self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self.plain: dict[int, str] = {}
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
@@ -255,37 +282,57 @@ def _goes_on(seq: bytes, byte: int) -> bool:
     return 0x80 <= byte <= 0xBF
 
 
+def walk(begun: bytes, data: bytes) -> tuple[str, bytes]:
+    """Run the UTF-8 machine over ``data`` from the state ``begun``, a sequence of at most three bytes that may go on:
+    the text that is complete, and the next state. What can't go on is one replacement character."""
+    out = []
+    for byte in data:
+        if begun and not _goes_on(begun, byte):
+            out.append("\ufffd")
+            begun = b""
+        if not begun and not _need(byte):
+            out.append("\ufffd")
+            continue
+        begun += bytes([byte])
+        if len(begun) == _need(begun[0]):
+            out.append(begun.decode())
+            begun = b""
+    return "".join(out), begun
+
+
+#: Tokens that are looked up at once.
+RUN = 256
+
+
 class StreamDecoder:
-    """Incremental UTF-8: the state is the begun sequence of at most three bytes."""
+    """Incremental UTF-8 over tokens: a step of the machine is a whole token, worked out once for each state it meets."""
 
     def __init__(self, codec: Codec):
         self.codec, self.begun = codec, b""
 
-    def _tail(self, data: bytes) -> int:
-        """Where an unfinished but so far valid last sequence begins."""
-        for back in range(1, min(3, len(data)) + 1):
-            at = len(data) - back
-            need = _need(data[at])
-            if need > back:
-                seq = data[at : at + 1]
-                for byte in data[at + 1 :]:
-                    if not _goes_on(seq, byte):
-                        return len(data)
-                    seq += bytes([byte])
-                return at
-            if need or data[at] >= 0xC0:
-                break
-        return len(data)
-
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.begun + self.codec.decode_bytes(ids)
-        at = self._tail(data)
-        self.begun = data[at:]
-        return data[:at].decode("utf-8", "replace")
+        ids, out, c = list(ids), [], self.codec
+        for at in range(0, len(ids), RUN):
+            some = ids[at : at + RUN]
+            run = [None] if self.begun else list(map(c.plain.get, some))
+            if None in run:
+                run, begun = [], self.begun
+                for i in some:
+                    key = (begun, i)
+                    made = c.steps.get(key)
+                    if made is None:
+                        made = c.steps[key] = walk(begun, c.fst.bytes_of[i])
+                        if not begun and not made[1]:
+                            c.plain[i] = made[0]
+                    run.append(made[0])
+                    begun = made[1]
+                self.begun = begun
+            out += run
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self.begun = self.begun, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.begun = "\ufffd" if self.begun else "", b""
+        return rest
 
 
 _CODECS: dict[tuple, Codec] = {}
