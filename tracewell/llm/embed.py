@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read
-from .graph import components
+from .graph import smallest
 
 BLOCK, PART = 4096, 1024
 EXACT_DIMENSIONS = 1040
@@ -130,10 +130,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, key: str = "vec_id",
     flat = tiles.select("same", F.transform("all", lambda r: r["node"]).alias("ids"), F.transform("all", lambda r: r["copies"]).alias("copies"), F.flatten(F.transform("all", lambda r: r["vec"])).alias("flat"), "size")
     found = cut(flat.mapInArrow(_tiles(threshold), "node long, links long, near long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
-    known = reps.select("k", "node", "rep", "copies").join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("k", "copies", "links", "component_id")
+    ids = smallest(found.select(F.col("node").alias("a"), F.col("near").alias("b")), reps.select("node", F.col("rep").alias("id")))
+    known = reps.select("k", "node", "rep", "copies").join(counts, "node", "left").join(ids, "node", "left")
+    known = known.select("k", "copies", "links", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("vec_id", "k").join(known, "k", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -36,3 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+#: Parts into which the join with a component's smallest id is dealt.
+SALTS = 32
+
+
+def smallest(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, component_id) for each node of ``edges(a, b)`` that has a neighbour: the smallest id in reach
+    (null only if there is none), from ``ids(node, id)``. A large component is dealt over ``SALTS`` keys."""
+    comps = cut(components(edges).join(ids.select("node", "id"), "node"))
+    least = comps.groupBy("component").agg(F.min("id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return comps.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least, ["component", "salt"]).select("node", "component_id")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, hold, map_rows, read
-from .graph import components
+from .graph import components, smallest
 
 TREES, DEPTH = 24, 4
 COLUMNS = TREES * DEPTH
@@ -484,9 +484,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     sets = cut(_full_sets(docs, nodes.join(reps.select("node", "doc_id", "mark", "digest"), "node"), words))
     links = cut(_confirm(pairs, sets, percent))
     links = links.union(_rest(docs, reps, rows, links, words, least, percent))
-    named = reps.select("node", "digest", "doc_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("digest", "component").join(least_id, "component").select("digest", "component_id")
+    found = smallest(links, reps.select("node", F.col("doc_id").alias("id")))
+    named = reps.join(found, "node", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
