@@ -73,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of their decoding."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, limits=(30_000, 40_000))
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, limits=(250_000, 60_000))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("private", private), ("mix", mix), ("tokens", tokens)]
