@@ -302,7 +302,7 @@ def test_regions_over_parts_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 16)
     monkeypatch.setattr(minhash, "SMALL", 0)
     assert find() == want and len(set(want)) > 1
-    monkeypatch.setattr(minhash, "_candidate_pairs", lambda rows, least: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(minhash, "_candidate_pairs", lambda members, rows, least: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     assert find() == want  # the tiles alone find all links
 
 

@@ -402,9 +402,9 @@ def _settle(least: int, percent: int):
     return _tiles(emit, ["a", "b"])
 
 
-def _spread(rows: DataFrame, *more: str) -> DataFrame:
+def _spread(rows: DataFrame) -> DataFrame:
     """A row for each order of each node."""
-    return rows.select(F.posexplode("keys").alias("tree", "key"), "node", *more).withColumn("tree", F.col("tree").cast("long"))
+    return rows.select(F.posexplode("keys").alias("tree", "key"), "node").withColumn("tree", F.col("tree").cast("long"))
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -424,12 +424,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
 
-def _candidate_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of nodes from the sorted orders of ``rows`` (node, keys, sketch)."""
+def _candidate_pairs(members: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes from the sorted orders of ``members`` (tree, key, node), with the sketches of ``rows``."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "key", "label", "node"]
     turned = F.expr(f"concat(substring(sketch, cast(tree as int) * {DEPTH} + 1), substring(sketch, 1, cast(tree as int) * {DEPTH}))")
-    placed = _spread(rows, "sketch").select("tree", "key", "node", turned.alias("label"))
+    placed = members.join(rows.select("node", "sketch"), "node").select("tree", "key", "node", turned.alias("label"))
     placed = cut(placed.repartitionByRange(n, *order).sortWithinPartitions(*order))
     named = placed.mapInArrow(_named, "tree long, key long, score int, node long, label binary").groupBy("tree", "key")
     named = named.agg(F.count("*").alias("parts"), F.max_by(F.struct("node", "label"), F.struct("score", -F.col("node"))).alias("hub"))
@@ -438,15 +438,16 @@ def _candidate_pairs(rows: DataFrame, least: int) -> DataFrame:
     return placed.mapInArrow(_stars(least, hubs), "a long, b long").where("a <> b").distinct()
 
 
-def _rest(docs: DataFrame, reps: DataFrame, rows: DataFrame, links: DataFrame, words: int, least: int, percent: int) -> DataFrame:
+def _rest(docs: DataFrame, reps: DataFrame, members: DataFrame, rows: DataFrame, links: DataFrame, words: int, least: int, percent: int) -> DataFrame:
     """Links (a, b) across the components of ``links`` inside regions that hold several."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     comps = components(links)
     rows = cut(rows.join(comps, "node", "left").select("node", "keys", "sketch", F.coalesce("component", "node").alias("comp")))
-    sizes = _spread(rows, "comp").groupBy("tree", "key", "comp").agg(F.count("*").alias("n"))
+    members = members.join(rows.select("node", "comp"), "node")
+    sizes = members.groupBy("tree", "key", "comp").agg(F.count("*").alias("n"))
     regions = sizes.groupBy("tree", "key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
     open_ = cut(regions.where("comps > 1").select("tree", "key", "main", F.ceil(F.col("n") / TILE).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / TILE).alias("chunks")))
-    at = _spread(rows, "comp").join(open_, ["tree", "key"])
+    at = members.join(open_, ["tree", "key"])
     mine = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(parts))
     count = lambda parts: F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)
     home = F.transform(count("chunks"), lambda c: F.struct(mine("block", "blocks").alias("block"), c.alias("chunk"), F.lit(True).alias("home")))
@@ -477,13 +478,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     reps = cut(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "f.doc_id", "f.mark", "s.keys", "s.sketch"))
     spread = _spread(reps)
     shared = spread.groupBy("tree", "key").count().where("count > 1").select("tree", "key")
-    cands = spread.join(shared, ["tree", "key"]).select("node").distinct()
-    rows = cut(reps.join(cands, "node").select("node", "keys", "sketch"))
-    pairs = cut(_candidate_pairs(rows, least))
+    members = cut(spread.join(shared, ["tree", "key"]).select("tree", "key", "node"))
+    rows = cut(reps.join(members.select("node").distinct(), "node").select("node", "keys", "sketch"))
+    pairs = cut(_candidate_pairs(members, rows, least))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = cut(_full_sets(docs, nodes.join(reps.select("node", "doc_id", "mark", "digest"), "node"), words))
     links = cut(_confirm(pairs, sets, percent))
-    links = links.union(_rest(docs, reps, rows, links, words, least, percent))
+    links = links.union(_rest(docs, reps, members, rows, links, words, least, percent))
     found = smallest(links, reps.select("node", F.col("doc_id").alias("id")))
     named = reps.join(found, "node", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
