@@ -1,5 +1,6 @@
 """Row-local functions, by tables of cases."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -153,3 +154,37 @@ def test_memory_key(spark):
     paths = ["/h/.claude/projects/p/memory/a.md", "C:\\x\\.claude\\projects\\q\\memory\\b.md", "/h/.claude/projects/p/memory/sub/a.md", None]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(C.memory_key(F.col("p"))).collect()
     assert [r[0] for r in got] == ["p/a.md", "q/b.md", None, None]
+
+
+def test_depths_in_cycles():
+    """A cycle is cut once; what hangs on it is counted from there."""
+    assert depths({"a": "b", "b": "c", "c": "a"}) == {"c": 0, "b": 1, "a": 2}
+    assert depths({"s": "a", "a": "b", "b": "a", "t": "b", "u": "t"}) == {"b": 0, "a": 1, "s": 2, "t": 1, "u": 2}
+    assert depths({"x": "x", "y": "x"}) == {"x": 0, "y": 1}
+
+
+def test_unpasted_line_ends():
+    assert unpasted("~~~\r\nx\r\n  ~~~ end\r\n$ a\rPS C:\\x> b") == "a\rb"
+    assert unpasted("a ``` b\n ```\n~~~\n```\n~~~ c") == "a ``` b\n"
+
+
+def test_only_queries_are_run(spark):
+    from pyspark.errors import ParseException
+
+    from tracewell.plans.engine import read_only
+
+    good = ["SELECT 1", "(SELECT 1) UNION (SELECT 2)", "-- note\nWITH x AS (SELECT 1) SELECT * FROM x", "VALUES (1)", "FROM t SELECT *", "TABLE t", "SHOW TABLES", "DESCRIBE t", "EXPLAIN SELECT 1", "SELECT * FROM (WITH y AS (SELECT 2) SELECT * FROM y)"]
+    bad = ["WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "FROM (SELECT 1) q INSERT INTO t SELECT *", "INSERT INTO t VALUES (1)", "DROP TABLE t", "CREATE VIEW v AS SELECT 1", "SET a = 1", "CACHE TABLE t", "FROM t INSERT INTO a SELECT * INSERT INTO b SELECT *", "SELECT TRANSFORM(a) USING 'cat' FROM t", "BEGIN SELECT 1; END"]
+    assert [q for q in good if not read_only(spark, q)] == [] and [q for q in bad if read_only(spark, q)] == []
+    with pytest.raises(ParseException):
+        read_only(spark, "(")
+
+
+def test_mentions_of_names_inside_longer_ones(spark):
+    from tracewell.operators.memory import mentions
+
+    said = ["cat x/memory/a.md", "cat x/memory/aa.md x/memory/a.md", "cat x\\memory\\b.md.md b c.md", "ls /memory/", "cat a.md", None]
+    calls = spark.createDataFrame([("f", i, f"t{i}", "Bash", json.dumps({"command": c}), None) for i, c in enumerate(said)], "file_path string, seq long, tool_use_id string, tool_name string, input string, ts timestamp")
+    keys = spark.createDataFrame([("p/a.md",), ("p/b.md",), ("q/a.md",), ("p/c.md",), ("p/none.md",)], "key string")
+    assert {r[0]: r[1] for r in mentions(calls, keys).collect()} == {"p/a.md": 2, "q/a.md": 2, "p/b.md": 1, "p/c.md": 1}
+    assert mentions(calls, keys.limit(0)).count() == 0

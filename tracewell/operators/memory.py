@@ -28,12 +28,18 @@ def mentions(calls: DataFrame, keys: DataFrame, since=None, until=None) -> DataF
     """(key, bash_mentions): shell commands on a memory folder that name the file.
 
     File names are cut out of the commands, so they meet by equality; a name met
-    inside a longer one counts as well, for each command once.
+    inside a longer one counts as well, for each command once. A command is told by file, place and id.
     """
     rows = calls.where((F.col("tool_name") == "Bash") & in_window(F.col("ts"), since, until))
     rows = rows.withColumn("command", F.translate(F.get_json_object("input", "$.command"), "\\", "/")).where(F.contains("command", F.lit("/memory/")))
     files = keys.select("key", F.element_at(F.split("key", "/"), -1).alias("name"))
-    return files.join(rows.select("command"), F.contains("command", F.col("name"))).groupBy("key").agg(F.count("*").alias("bash_mentions"))
+    longest = files.agg(F.max(F.length("name")).alias("longest")).where("longest is not null")  # one row
+    # A name ends in .md and holds no slash, so it is the end of a command's part up to some .md.
+    parts = rows.select(F.struct("file_path", "seq", "tool_use_id").alias("call"), F.explode(F.split("command", "/")).alias("part")).withColumn("cut", F.split("part", r"\.md"))
+    upto = parts.where(F.size("cut") > 1).select("call", F.explode(F.transform(F.sequence(F.lit(1), F.size("cut") - 1), lambda k: F.concat(F.concat_ws(".md", F.slice("cut", 1, k)), F.lit(".md")))).alias("head"))
+    tail = upto.crossJoin(F.broadcast(longest)).select("call", F.expr("right(head, longest)").alias("tail"))
+    names = tail.select("call", F.explode(F.transform(F.sequence(F.lit(1), F.length("tail")), lambda i: F.substring("tail", i, F.length("tail")))).alias("name"))
+    return names.join(files, "name").groupBy("key").agg(F.countDistinct("call").alias("bash_mentions"))
 
 
 def files(calls: DataFrame, events: DataFrame, since=None, until=None, existing: list[str] | None = None) -> DataFrame:

@@ -26,6 +26,28 @@ READERS = {"claude_code": session_log, "opencode": opencode, "cursor": cursor, "
 INFO_TABLES = ("sessions", "events", "tool_calls", "source_files")
 
 
+def read_only(spark: SparkSession, query: str) -> bool:
+    """Whether a statement, as Spark parses it, holds no command and no statement that writes or runs scripts, at any depth.
+
+    Commands that show, describe or explain are let through at the top. What can't be parsed raises Spark's ParseException.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    load = spark.sparkContext._jvm.Thread.currentThread().getContextClassLoader().loadClass
+    kinds = [load(f"org.apache.spark.sql.catalyst.plans.logical.{name}") for name in ("Command", "ParsedStatement")]
+    name = plan.getClass().getSimpleName()
+    if name.startswith(("Show", "Describe", "Explain")):
+        return True
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if any(k.isInstance(node) for k in kinds) or name.startswith("Compound") or "ScriptTransformation" in name:
+            return False
+        inner = node.innerChildren() if name in ("UnresolvedWith", "SubqueryAlias") else ()
+        todo += [seq.apply(i) for seq in (node.children(), *([inner] if inner else [])) for i in range(seq.length())]
+    return True
+
+
 class Engine:
     """``server`` names the memory server whose recalls are followed."""
 
@@ -106,9 +128,8 @@ class Engine:
         self.table("recall_calls").createOrReplaceTempView("recall_followups")
 
     def sql(self, query: str) -> DataFrame:
-        """Spark SQL over the tables and views; nothing but queries is run."""
-        head = query.lstrip("( \n\t").split(None, 1)[0].lower() if query.strip() else ""
-        if head not in ("select", "with", "values", "show", "describe", "desc", "explain", "table", "from"):
+        """Spark SQL over the tables and views. What is parsed must be a query, or show, describe or explain one."""
+        if not read_only(self.spark, query):
             raise ValueError("only queries are run")
         self.views()
         return self.spark.sql(query)

@@ -153,13 +153,13 @@ def compare_periods(spark, d):
 
 
 @query(f"""WITH {CALLS}, ev AS (SELECT * FROM tool_calls WHERE outcome = 'error'), notes AS (SELECT session_id, max(ts) AS t FROM tool_calls WHERE outcome = 'pending' GROUP BY session_id),
-acts AS (SELECT epoch_us(ts) AS a FROM tool_calls WHERE event_id % 97 = 0)
+acts AS (SELECT epoch_us(ts) AS a FROM tool_calls WHERE outcome = 'denied' AND tool_name = 'Bash')
 SELECT e.tool_use_id, e.session_id, e.ts FROM ev e WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.session_id = e.session_id AND n.t >= e.ts)
  AND NOT EXISTS (SELECT 1 FROM acts WHERE a >= epoch_us(e.ts) AND a <= epoch_us(e.ts) + 1800000000)""")
 def salvage_uncovered(spark, d):
-    """Evidence without a note, by a range join on slices of time."""
+    """Evidence without a note, by a range join on slices of time."""
     c = calls(spark, d)
-    acts = c.where(F.col("tool_use_id").cast("long") % 97 == 0).select("ts")
+    acts = c.where("outcome = 'denied' AND tool_name = 'Bash'").select("ts")
     ev = salvage.evidence(c, {"failed": F.col("outcome") == "error"})
     return salvage.uncovered(ev, c.where("outcome = 'pending'"), acts).select("tool_use_id", "session_id", "ts")
 
