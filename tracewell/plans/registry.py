@@ -152,6 +152,45 @@ def compare_periods(spark, d):
     return got.select("name", "baseline_tool_calls", "current_tool_calls", "baseline_sessions", "current_sessions", "tool_calls_change", "sessions_change")
 
 
+_RATE = "CASE WHEN {d} <> 0 THEN CAST(format('{{:.2f}}', {n} / CAST({d} AS DOUBLE){x}) AS DOUBLE) END"
+
+
+@query(f"""WITH {_HABITS}, ends AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM tool_calls), mid AS (SELECT CAST(floor((a + z) / 2 / 1000000.0) AS BIGINT) AS m FROM ends),
+b AS (SELECT name, count(*) AS n, count(DISTINCT session_id) AS s FROM habits, mid WHERE epoch_us(ts) <= m * 1000000 GROUP BY name), c AS (SELECT name, count(*) AS n, count(DISTINCT session_id) AS s FROM habits, mid WHERE epoch_us(ts) >= m * 1000000 GROUP BY name),
+r AS (SELECT v.name, coalesce(b.n, 0) AS bn, coalesce(c.n, 0) AS cn, coalesce(b.s, 0) AS bs, coalesce(c.s, 0) AS cs FROM {_NAMES} LEFT JOIN b ON b.name = v.name LEFT JOIN c ON c.name = v.name)
+SELECT name, {_RATE.format(n="bn", d="bs", x="")} AS baseline_calls_per_session, {_RATE.format(n="cn", d="cs", x="")} AS current_calls_per_session, {_RATE.format(n="(cn - bn)", d="bn", x=" * 100")} AS tool_calls_percent_change FROM r""")
+def period_ratios(spark, d):
+    """Ratios of the two periods, rounded by their binary values."""
+    a, m, z = _half(spark, d)
+    got = hygiene.compare(_shell_calls(spark, d), (a, m), (m, z))
+    return got.select("name", "baseline_calls_per_session", "current_calls_per_session", "tool_calls_percent_change")
+
+
+@query(f"""WITH {CALLS}, ends AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM tool_calls), mid AS (SELECT CAST(floor((a + z) / 2 / 1000000.0) AS BIGINT) * 1000000 AS m FROM ends),
+days AS (SELECT strftime(ts, '%Y-%m-%d') AS source, count(*) FILTER (epoch_us(ts) <= m) AS b, count(*) FILTER (epoch_us(ts) >= m) AS c FROM tool_calls, mid GROUP BY 1)
+SELECT source, b AS baseline_tool_calls, c AS current_tool_calls FROM days WHERE b = 0 OR c = 0""")
+def period_asymmetry(spark, d):
+    """Sources with calls in one period only; days stand in for sources."""
+    a, m, z = _half(spark, d)
+    return hygiene.asymmetry(calls(spark, d).withColumn("source", F.date_format("ts", "yyyy-MM-dd")), (a, m), (m, z))
+
+
+@query(f"WITH {CALLS} SELECT source, count(*) AS tool_calls FROM tool_calls WHERE outcome = 'error' GROUP BY source")
+def untimed_calls(spark, d):
+    """Calls without a time that a window drops; failed calls have none here."""
+    c = calls(spark, d)
+    return hygiene.untimed(c.withColumn("ts", F.when(F.col("outcome") != "error", F.col("ts"))), since=_half(spark, d)[1])
+
+
+@query(f"""WITH {CALLS}, ev AS (SELECT 'failed' AS kind, * FROM tool_calls WHERE outcome = 'error' UNION ALL SELECT 'shell', * FROM tool_calls WHERE tool_name = 'Bash'),
+notes AS (SELECT session_id, max(ts) AS t FROM tool_calls WHERE outcome = 'pending' GROUP BY session_id)
+SELECT kind, tool_use_id, session_id, ts, substr(input_summary, 1, 200) AS snippet FROM ev e WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.session_id = e.session_id AND n.t >= e.ts) ORDER BY ts DESC, kind, tool_use_id LIMIT 50""")
+def salvage_newest(spark, d):
+    """The report's order and limit, with two signals that may meet in one call."""
+    signals = {"failed": F.col("outcome") == "error", "shell": F.col("tool_name") == "Bash"}
+    return salvage.nominations(calls(spark, d), F.col("outcome") == "pending", signals).select("kind", "tool_use_id", "session_id", "ts", "snippet")
+
+
 @query(f"""WITH {CALLS}, ev AS (SELECT * FROM tool_calls WHERE outcome = 'error'), notes AS (SELECT session_id, max(ts) AS t FROM tool_calls WHERE outcome = 'pending' GROUP BY session_id),
 acts AS (SELECT epoch_us(ts) AS a FROM tool_calls WHERE outcome = 'denied' AND tool_name = 'Bash')
 SELECT e.tool_use_id, e.session_id, e.ts FROM ev e WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.session_id = e.session_id AND n.t >= e.ts)
@@ -286,6 +325,27 @@ def stable_outputs(spark, d):
     return mining.stable_outputs(calls(spark, d), min_stability=0.1).select("command", "sessions", "stability", "sample_output")
 
 
+@query(f"""WITH {_NEG}, nf AS (SELECT *, row_number() OVER (PARTITION BY result, session_id ORDER BY ts, file_path, seq, tool_use_id) AS n FROM rows WHERE result IS NOT NULL),
+f AS (SELECT *, coalesce(rtrim(result_text), '') AS answer, row_number() OVER (PARTITION BY input_summary, session_id ORDER BY ts, file_path, seq, tool_use_id) AS n FROM tool_calls WHERE tool_name = 'Bash' AND NOT is_sidechain),
+g AS (SELECT input_summary, answer, count(*) AS c, min(ts) AS t FROM f WHERE n = 1 GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY input_summary ORDER BY c DESC, t) AS r, sum(c) OVER (PARTITION BY input_summary) AS s, min(t) OVER (PARTITION BY input_summary) AS first_seen FROM g),
+u AS (SELECT 'negative-fact' AS signal, count(*) AS sessions, result AS sample_output, first(input_summary ORDER BY ts, file_path, seq, tool_use_id) AS command, min(ts) AS first_seen FROM nf WHERE n = 1 GROUP BY result HAVING count(*) >= 3
+ UNION ALL SELECT 'stable-output', CAST(s AS BIGINT), answer, input_summary, first_seen FROM m WHERE r = 1 AND s >= 3 AND c / s >= 0.1 AND answer <> '')
+SELECT CAST(row_number() OVER (ORDER BY signal, sessions DESC, first_seen NULLS LAST, sample_output, command) AS INTEGER) AS place, signal, sessions, command, sample_output FROM u""")
+def nominated(spark, d):
+    """Both kinds of signals in the report's order, which ``place`` tells."""
+    got = mining.nominate(calls(spark, d), min_stability=0.1)
+    got = got.withColumn("at", F.monotonically_increasing_id())
+    return got.select(F.row_number().over(W.orderBy("at")).alias("place"), "signal", "sessions", "command", "sample_output")
+
+
+@query(f"WITH {_LINKS}, kept AS (SELECT * FROM links WHERE owner <> 'own0' OR number >= 10) SELECT owner FROM kept GROUP BY owner ORDER BY count(DISTINCT number) DESC, owner LIMIT 1")
+def owner_inferred(spark, d):
+    """The owner of most keys; two of three tie, and the first by name has fewer."""
+    e = F.col("tool_use_id").cast("long")
+    kept = _linked_calls(spark, d).where((e % 3 != 0) | (e % 40 >= 10))
+    return spark.createDataFrame([(review.infer_owner(review.appearances(review.links(kept))),)], "owner string")
+
+
 def _memory_calls(spark, d):
     e = F.col("tool_use_id").cast("long")
     path = F.concat(F.lit("/home/x/.claude/projects/p"), (e % 4).cast("string"), F.lit("/memory/note"), (e % 30).cast("string"), F.lit(".md"))
@@ -315,6 +375,15 @@ def memory_models(spark, d):
     return memory.models(_memory_calls(spark, d), _memory_events(spark, d))
 
 
+@query(f"""WITH {_MEM}, scanned AS (SELECT DISTINCT 'p' || CAST(event_id % 5 AS VARCHAR) || '/note' || CAST(event_id % 30 AS VARCHAR) || '.md' AS key FROM tool_calls)
+SELECT key FROM scanned WHERE key NOT IN (SELECT key FROM w)""")
+def memory_unattributed(spark, d):
+    """Files on disk that no successful write explains."""
+    e = F.col("tool_use_id").cast("long")
+    scanned = calls(spark, d).select(F.concat(F.lit("p"), (e % 5).cast("string"), F.lit("/note"), (e % 30).cast("string"), F.lit(".md")).alias("key")).distinct()
+    return memory.unattributed(_memory_calls(spark, d), scanned)
+
+
 @query()
 def recall_overlap(spark, d):
     """What a recall's answer left in the talk after it."""
