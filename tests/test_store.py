@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import shutil
 import sqlite3
 import zipfile
 
@@ -216,6 +217,30 @@ def test_incremental_equals_fresh(spark, corpus, tmp_path):
         assert key(a) == key(b), name
 
 
+def test_chats_come_later(spark, corpus, tmp_path):
+    a, b = Engine(spark, f"{tmp_path}/a"), Engine(spark, f"{tmp_path}/b")
+    shutil.copytree(f"{corpus}/chats", f"{tmp_path}/chats")
+    write(f"{tmp_path}/chats/h/meta.json", [{}])  # one folder too high to be a session's
+    sources, chats = {"cursor": [f"{corpus}/cu"]}, [f"{tmp_path}/chats"]
+    a.build(sources)
+    report = a.build(sources, chats)
+    assert report["read"] == {"cursor": 0} and report["chats"]["metas"] == 1
+    assert (report["chats"]["matched"], report["chats"]["unmatched"]) == (1, 1)
+    assert b.build(sources, chats)["chats"] == report["chats"]
+    same = lambda: {n: sorted(map(str, rows(a.table(n), "*"))) == sorted(map(str, rows(b.table(n), "*"))) for n in ("sessions", "events", "tool_calls", "recall_calls")}
+    assert all(same().values()), same()
+    assert rows(a.table("source_files").orderBy("file_path"), "n_events", "n_tool_calls") == [(3, 2), (1, 2)]
+    a.build(sources, chats)  # once more changes nothing
+    assert all(same().values()), same()
+    os.remove(f"{tmp_path}/chats/h/c1/store.db")  # events come back from the transcript; filled calls and the folder stay
+    a.build({}, chats)
+    e = a.table("events").where("session_id = 'c1'")
+    assert rows(e, "type", "text", "cwd") == [("text", "hi", "/cursor")] and rows(e, "event_id")[0][0].startswith("cursor:text:")
+    assert rows(a.table("sessions").orderBy("session_id"), "session_id", "n_events", "cwd") == [("c1", 1, "/cursor"), ("c2", 1, None)]
+    assert rows(a.table("tool_calls").where("session_id = 'c1' and tool_name = 'Shell'"), "outcome") == [("error",)]
+    assert rows(a.table("source_files").orderBy("file_path"), "n_events") == [(1,), (1,)]
+
+
 def test_store_refusals(spark, tmp_path):
     with pytest.raises(StoreError):
         Engine(spark, f"{tmp_path}/none").denials()

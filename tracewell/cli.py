@@ -11,6 +11,7 @@ import json
 import sys
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from .functions.parse import moment
@@ -239,7 +240,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None, out=None)
     except InvalidPattern as e:
         print(f"error: invalid pattern: {e}", file=sys.stderr)
         return 2
-    except (StoreError, SessionNotFound, ValueError) as e:
+    except (StoreError, SessionNotFound, ValueError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

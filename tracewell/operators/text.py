@@ -18,6 +18,10 @@ SHORT = (
 ).split()
 QUERY = r"(?s)<user_query(?:\s[^>]*)?>((?:(?!<user_query(?:\s|>)).)*?)</user_query>"
 TOKEN = r"(?<![A-Za-z0-9_.-])[A-Za-z]{2,3}(?![A-Za-z0-9_-]|\.[A-Za-z0-9])|[A-Za-z][A-Za-z0-9_\-]{3,}|[ァ-ヴー]{3,}|[一-龥々]{2,}"
+#: Runs of the characters that terms are made of: a term lies in a text if and only if it lies in one of its runs.
+RUN = r"[a-z0-9_\-]{2,}|[ァ-ヴー]{3,}|[一-龥々]{2,}"
+PIECE, WINDOW = 1024, 48
+KEYS = (2, 3, 4, 6, 8, 12, 16, 24, 32, WINDOW)
 UUID = "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
@@ -103,6 +107,30 @@ def idf(sessions_with_prose: DataFrame, terms: DataFrame, most: float = 0.3) ->
     return df.where(F.col("df") <= F.col("n") * most).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
+def contained(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct terms (as ``tokens`` makes them) that some text contains, also inside a longer word.
+
+    Terms and places of the texts meet on the first characters, as many as the
+    longest of ``KEYS`` that a term has, so this is an equality join; what
+    follows is compared after it. Runs are cut into pieces that overlap by a window,
+    and terms longer than a window are looked for in the whole run.
+    """
+    runs = texts.select(F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run")).distinct().withColumn("of", F.xxhash64("run"))
+    pieces = runs.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.length("run") - 1) / PIECE).cast("int"))))
+    pieces = pieces.select("of", F.substring("run", F.col("at") * PIECE + 1, F.lit(PIECE + WINDOW - 1)).alias("piece"))
+    places = pieces.select("of", "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("at")).select("of", F.substring("piece", F.col("at"), F.lit(WINDOW)).alias("seen"))
+    n = F.length("term")
+    longest = F.array_max(F.filter(F.array(*map(F.lit, KEYS)), lambda k: k <= n))
+    keyed = terms.withColumn("key", F.substring("term", F.lit(1), longest))
+    short, long_ = keyed.where(n <= WINDOW), keyed.where(n > WINDOW)
+    seen = places.select("seen").distinct()
+    fits = F.filter(F.array(*map(F.lit, KEYS)), lambda k: k <= F.length("seen"))
+    keys = seen.select("seen", F.explode(fits).alias("k")).select("seen", F.substring("seen", F.lit(1), F.col("k")).alias("key"))
+    found = short.join(keys, (short["key"] == keys["key"]) & F.startswith("seen", "term"), "left_semi").select("term")
+    begun = long_.join(places.distinct(), F.col("key") == F.col("seen")).select("term", "of").join(runs, "of")
+    return found.union(begun.where(F.contains("run", "term")).select("term").distinct())
+
+
 def orphans(events: DataFrame, sessions: DataFrame, sinks: DataFrame | None = None, since=None, until=None, min_tf: int = 3, min_human_chars: int = 800, min_orphans: int = 3, include_headless: bool = False, reviewed: list[str] | None = None, show_reviewed: bool = False, limit: int = 20, top: int = 10) -> DataFrame:
     """Sessions with terms that no other session and no sink text has, densest first.
 
@@ -113,8 +141,7 @@ def orphans(events: DataFrame, sessions: DataFrame, sinks: DataFrame | None = No
     own, terms = session_prose(events, sessions)
     unique = terms.join(document_frequency(terms).where("df = 1"), "term").where(F.col("tf") >= min_tf)
     if sinks is not None:
-        names = unique.select("term").distinct()
-        held = names.join(sinks.select("text"), F.contains(F.col("text"), F.col("term")), "left_semi").withColumn("held", F.lit(True))
+        held = contained(unique.select("term").distinct(), sinks).withColumn("held", F.lit(True))
         unique = unique.join(held, "term", "left").withColumn("orphan", F.col("held").isNull())
     else:
         unique = unique.withColumn("orphan", F.lit(True))

@@ -18,8 +18,8 @@ from ..operators import hygiene as H
 from ..operators import memory as M
 from ..operators import mining, pending, recalls, review, salvage, search, text, topics, trace
 from ..sources import codex, cursor, ledgers, lookup, opencode, session_log, web_export
-from ..sources.lines import discover, files, lines
-from .store import Store, changed_files, files_per_root, ledger_rows, stat
+from ..sources.lines import discover, files, lines, parent_name
+from .store import Store, changed_files, files_named, files_per_root, ledger_rows, recounted, stat
 
 PATTERNS = {"claude_code": "*.jsonl", "opencode": "*.ndjson", "cursor": "*.jsonl", "codex": "*.jsonl"}
 READERS = {"claude_code": session_log, "opencode": opencode, "cursor": cursor, "codex": codex}
@@ -60,7 +60,8 @@ class Engine:
         """Read what is new or changed under ``sources`` (by source name) into the store.
 
         A file is read whole or not at all. ``chats`` hold metas and stores beside
-        ``cursor`` transcripts; ``exports`` are conversation exports; ``ledger`` is
+        ``cursor`` transcripts, and are applied at each build to whatever sessions the
+        store holds; ``exports`` are conversation exports; ``ledger`` is
         the memory server's database. Returns counts and what was missing.
         """
         report: dict = {"missing": [], "read": {}, "unchanged": {}}
@@ -86,28 +87,63 @@ class Engine:
             report["missing"] += missing
             if found:
                 parts.append(web_export.ingest(files(self.spark, found)))
-        if not parts:
+        metas, missing = discover(chats, "meta.json", depth=2)
+        report["missing"] += missing
+        held = self._held(metas, changed) if metas and self.store.exists() else None
+        if not parts and held is None:
             return report | {"tables": {}}
-        tables = {n: _union([p[n] for p in parts]) for n in ("sessions", "events", "tool_calls")}
-        if chats:
-            tables, report["chats"] = self._chats(tables, list(chats))
+        names = ("sessions", "events", "tool_calls")
+        tables = {n: _union([p[n] for p in parts]) if parts else schema.empty(self.spark, n) for n in names}
         known_recalls = ledgers.recall_ledger(self.spark, ledger) if ledger else None
-        tables["recall_calls"] = recalls.recall_calls(tables["events"], tables["tool_calls"], self.server, known_recalls)
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        told = recalls.recall_calls(tables["events"], tables["tool_calls"], self.server, known_recalls)  # what transcripts alone say
         none = self.spark.createDataFrame([], "file_path string, n_parse_errors long")
         got = _union(changed) if changed else files(self.spark, [])
-        tables["source_files"] = ledger_rows(got, tables, _union(errors) if errors else none, now)
         keys = got.select("file_path").union(tables["sessions"].where("source = 'claude_ai'").select("file_path"))
+        if held is not None:
+            tables = {n: tables[n].unionByName(held[n]) for n in names}
+            told, keys = told.unionByName(held["recall_calls"]), keys.union(held["sessions"].select("file_path"))
+        if chats:
+            tables, report["chats"] = self._chats(tables, metas, missing)
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        tables["recall_calls"] = told
+        tables["source_files"] = ledger_rows(got, tables, _union(errors) if errors else none, now)
+        if held is not None:
+            tables["source_files"] = tables["source_files"].unionByName(recounted(held["source_files"], tables["events"]))
         self.store.replace(keys.distinct(), tables, {k: [os.path.abspath(os.path.expanduser(p)) for p in v] for k, v in {**sources, "chats": list(chats)}.items()})
         fresh = {n: self.store.table(n) for n in INFO_TABLES}
         return report | {"tables": {n: t.count() for n, t in fresh.items()}, "parse_errors": fresh["source_files"].agg(F.sum("n_parse_errors")).first()[0] or 0}
 
-    def _chats(self, tables: dict[str, DataFrame], chats: list[str]) -> tuple[dict[str, DataFrame], dict]:
-        metas, missing = discover(chats, "meta.json")
+    def _held(self, metas: list[str], changed: list[DataFrame]) -> dict[str, DataFrame] | None:
+        """Stored rows of the transcripts that chats belong to and that this build doesn't read; None without such.
+
+        Where an earlier chat store took the place of a transcript's events, these are
+        read from the transcript again, if it is still there: the chat store may have gone.
+        """
+        named = files_named(self.spark, metas).select(parent_name(F.col("file_path")).alias("session_id")).distinct()
+        mine = self.store.table("sessions").where("source = 'cursor'").join(named, "session_id", "left_semi").select("file_path").distinct()
+        if changed:
+            mine = mine.join(_union(changed).select("file_path"), "file_path", "left_anti")
+        if mine.isEmpty():
+            return None
+        held = {n: self.store.table(n).join(mine, "file_path", "left_semi").select(self.store.table(n).columns) for n in schema.TABLES}
+        own = held["events"].groupBy("file_path").agg(F.bool_and(F.col("event_id").startswith("cursor:text:")).alias("own"))
+        lost = mine.join(own.where("own"), "file_path", "left_anti").collect()  # at most a path for each meta, which the driver has listed
+        back = sorted(p for (p,) in lost if os.path.isfile(p))
+        if back:
+            of = held["sessions"].select("file_path", "cwd")
+            read = cursor.events(cursor.blocks(lines(files(self.spark, back)))).drop("cwd").join(of, "file_path", "left")
+            rest = held["events"].join(files_named(self.spark, back), "file_path", "left_anti").select(held["events"].columns)
+            held["events"] = rest.unionByName(schema.conform(read, schema.EVENTS))
+            held["sessions"] = recounted(held["sessions"], held["events"])
+        return held
+
+    def _chats(self, tables: dict[str, DataFrame], metas: list[str], missing: list[str]) -> tuple[dict[str, DataFrame], dict]:
+        """Metas and chat stores applied to ``tables``; counts are of all sessions, stored ones included."""
         told = {"metas": len(metas), "missing": missing}
         if metas:
             read = cursor.metas(files(self.spark, metas))
-            matched, unmatched = cursor.meta_match(tables["sessions"], read)
+            known = self.store.table("sessions").select("session_id", "source") if self.store.exists() else schema.empty(self.spark, "sessions").select("session_id", "source")
+            matched, unmatched = cursor.meta_match(known.union(tables["sessions"].select("session_id", "source")), read)
             told |= {"matched": matched.count(), "unmatched": unmatched.count()}
             tables = {**tables, **cursor.apply_metas(tables, read)}
         beside = [p for m in metas if os.path.isfile(p := os.path.join(os.path.dirname(m), "store.db"))]

@@ -131,6 +131,17 @@ def ledger_rows(found: DataFrame, tables: dict[str, DataFrame], errors: DataFram
     return schema.conform(out.na.fill(0, ["n_events", "n_tool_calls", "n_parse_errors"]).withColumn("built_at", F.lit(built_at)), schema.SOURCE_FILES)
 
 
+def recounted(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """``rows`` by file with ``n_events`` as there are events of the file."""
+    n = events.groupBy("file_path").agg(F.count("*").alias("__n"))
+    return rows.join(n, "file_path", "left").withColumn("n_events", F.coalesce("__n", F.lit(0)).cast("long")).select(rows.columns)
+
+
+def files_named(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file_path of each of the paths."""
+    return spark.createDataFrame([(p,) for p in paths], "file_path string")
+
+
 def stat(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_path, size_bytes and mtime; contents aren't read, as nothing asks for them."""
     return files(spark, paths).select("file_path", "size_bytes", "mtime")

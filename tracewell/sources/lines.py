@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def discover(sources: Iterable[str], pattern: str, prune: bool = False) -> tuple[list[str], list[str]]:
+def discover(sources: Iterable[str], pattern: str, prune: bool = False, depth: int = 0) -> tuple[list[str], list[str]]:
     """Files under the sources in order, each once, and the sources that don't exist.
 
     A file is taken whatever its name. ``prune`` stops at a folder that holds a
-    match itself; links to folders are followed nowhere.
+    match itself; links to folders are followed nowhere. A match lies at least
+    ``depth`` folders below its source.
     """
     found, missing = set(), []
     for source in sources:
@@ -32,7 +33,8 @@ def discover(sources: Iterable[str], pattern: str, prune: bool = False) -> tuple
             missing.append(source)
         else:
             for folder, below, names in os.walk(source):
-                hits = [n for n in names if fnmatch.fnmatch(n, pattern)]
+                deep = depth == 0 or len(os.path.relpath(folder, source).split(os.sep)) >= depth and folder != source
+                hits = [n for n in names if deep and fnmatch.fnmatch(n, pattern)]
                 found.update(os.path.realpath(os.path.join(folder, n)) for n in hits)
                 if prune and hits:
                     below.clear()
