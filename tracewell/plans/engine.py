@@ -64,6 +64,12 @@ class Engine:
         store holds; ``exports`` are conversation exports; ``ledger`` is
         the memory server's database. Returns counts and what was missing.
         """
+        try:
+            return self._build(sources, list(chats), list(exports), ledger)
+        finally:
+            self.store.unstage()
+
+    def _build(self, sources: dict[str, list[str]], chats: list[str], exports: list[str], ledger: str | None) -> dict:
         report: dict = {"missing": [], "read": {}, "unchanged": {}}
         known = self.store.table("source_files") if self.store.exists() else schema.empty(self.spark, "source_files")
         parts: list[dict[str, DataFrame]] = []
@@ -79,7 +85,7 @@ class Engine:
             if todo:
                 got = files(self.spark, todo)
                 numbered = lines(got)
-                parts.append(reader.ingest(numbered))
+                parts.append(reader.ingest(numbered, self.store.staged))
                 changed.append(got)
                 errors.append(numbered.where(_broken(F.col("raw"))).groupBy("file_path").agg(F.count("*").alias("n_parse_errors")))
         if exports:
@@ -109,7 +115,7 @@ class Engine:
         tables["source_files"] = ledger_rows(got, tables, _union(errors) if errors else none, now)
         if held is not None:
             tables["source_files"] = tables["source_files"].unionByName(recounted(held["source_files"], tables["events"]))
-        self.store.replace(keys.distinct(), tables, {k: [os.path.abspath(os.path.expanduser(p)) for p in v] for k, v in {**sources, "chats": list(chats)}.items()})
+        self.store.replace(keys.distinct(), tables, {k: [os.path.abspath(os.path.expanduser(p)) for p in v] for k, v in {**sources, "chats": chats}.items()})
         fresh = {n: self.store.table(n) for n in INFO_TABLES}
         return report | {"tables": {n: t.count() for n, t in fresh.items()}, "parse_errors": fresh["source_files"].agg(F.sum("n_parse_errors")).first()[0] or 0}
 

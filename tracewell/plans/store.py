@@ -32,6 +32,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
+        self._staged: list[str] = []
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # ---- manifest
@@ -80,6 +81,17 @@ class Store:
 
     # ---- writing
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables and read back, until ``unstage``."""
+        at = f"{self.path}/.staging/{uuid.uuid4().hex}"
+        self._staged.append(at)
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def unstage(self) -> None:
+        while self._staged:
+            self._fs.delete(self._path(self._staged.pop()), True)
+
     def replace(self, changed: DataFrame, rows: dict[str, DataFrame], roots: dict[str, list[str]] | None = None) -> None:
         """Rows of the changed ``file_path``s give way to ``rows``; with the same bytes, the same rows."""
         old = self.manifest() if self.exists() else {"format": schema.FORMAT_VERSION, "tables": {}, "roots": {}}

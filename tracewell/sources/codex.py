@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import columns as C
 from ..functions import parse as P
-from .lines import read_lines, stem
+from .lines import as_is, read_lines, stem
 
 LINE = (
     "ts timestamp, sid string, call struct<id:string,tool:string,input:string,summary:string,query:string,output:string,failed:boolean,ms:long,cwd:string>, "
@@ -152,7 +152,8 @@ def sessions(recs: DataFrame, events_: DataFrame, calls_: DataFrame) -> DataFram
     return schema.conform(both.withColumns({**tokens, "cache_creation_tokens": F.lit(0), "source": F.lit("codex")}), schema.SESSIONS)
 
 
-def ingest(lines: DataFrame) -> dict[str, DataFrame]:
-    recs = records(lines)
+def ingest(lines: DataFrame, keep=as_is) -> dict[str, DataFrame]:
+    """The tables of a format's lines. ``keep`` may write the parsed lines down, since each table reads them again."""
+    recs = keep(records(lines))
     e, c = events(recs), tool_calls(recs)
     return {"sessions": sessions(recs, e, c), "events": e, "tool_calls": c}

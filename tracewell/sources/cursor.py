@@ -22,7 +22,7 @@ from .. import schema
 from ..functions import columns as C
 from ..functions import parse as P
 from ..operators.order import first_of
-from .lines import parent_name, read_lines, stem
+from .lines import as_is, parent_name, read_lines, stem
 
 #: Fixed values of the format: blocks that stand for another tool, and failures of stored results.
 MCP_BLOCKS = ("CallMcpTool", "CallDynamicTool")
@@ -97,8 +97,9 @@ def sessions(lines: DataFrame, b: DataFrame) -> DataFrame:
     return schema.conform(own.withColumns({"session_id": stem(F.col("file_path")), "source": F.lit("cursor")}), schema.SESSIONS)
 
 
-def ingest(lines: DataFrame) -> dict[str, DataFrame]:
-    b = blocks(lines)
+def ingest(lines: DataFrame, keep=as_is) -> dict[str, DataFrame]:
+    """The tables of a format's lines. ``keep`` may write the parsed lines down, since each table reads them again."""
+    b = keep(blocks(lines))
     return {"sessions": sessions(lines, b), "events": events(b), "tool_calls": tool_calls(b)}
 
 

@@ -93,6 +93,10 @@ def read_lines(numbered_lines: DataFrame, parse, schema: str) -> DataFrame:
     return numbered_lines.select("file_path", "seq", "raw").mapInArrow(run, target)
 
 
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def stem(path):
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 

@@ -9,7 +9,7 @@ from .. import schema
 from ..functions import columns as C
 from ..functions import parse as P
 from ..operators.order import first_of
-from .lines import read_lines
+from .lines import as_is, read_lines
 
 LINE = (
     "sid string, call struct<id:string,ts:timestamp,tool:string,input:string,summary:string,query:string,output:string,error:string,failed:boolean,ms:long>, "
@@ -92,7 +92,8 @@ def sessions(events_: DataFrame, calls_: DataFrame) -> DataFrame:
     return schema.conform(own.withColumn("source", F.lit("opencode")), schema.SESSIONS)
 
 
-def ingest(lines: DataFrame) -> dict[str, DataFrame]:
-    recs = read_lines(lines, parse_line, LINE).where("ok")
+def ingest(lines: DataFrame, keep=as_is) -> dict[str, DataFrame]:
+    """The tables of a format's lines. ``keep`` may write the parsed lines down, since each table reads them again."""
+    recs = keep(read_lines(lines, parse_line, LINE).where("ok"))
     e, c = events(recs), tool_calls(recs)
     return {"sessions": sessions(e, c), "events": e, "tool_calls": c}

@@ -15,7 +15,7 @@ from .. import schema
 from ..functions import columns as C
 from ..functions import parse as P
 from ..operators.order import carried, first_known, first_of, with_depth
-from .lines import parent_name, read_lines, stem
+from .lines import as_is, parent_name, read_lines, stem
 
 LINE = (
     "uuid string, parent_uuid string, sid string, ts timestamp, type string, role string, is_sidechain boolean, is_meta boolean, permission_mode string, effort string, "
@@ -138,7 +138,8 @@ def sessions(recs: DataFrame, calls: DataFrame) -> DataFrame:
     return schema.conform(both.na.fill(0, zero).withColumn("project_dir", parent_name(F.col("file_path"))), schema.SESSIONS)
 
 
-def ingest(lines: DataFrame) -> dict[str, DataFrame]:
-    recs = records(lines)
+def ingest(lines: DataFrame, keep=as_is) -> dict[str, DataFrame]:
+    """The tables of a format's lines. ``keep`` may write the parsed lines down, since each table reads them again."""
+    recs = keep(records(lines))
     calls = tool_calls(recs)
     return {"sessions": sessions(recs, calls), "events": events(recs), "tool_calls": calls}
