@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, langid, minhash, mixing, pii
-from tracewell.llm.common import rank_within, shared_folder
+from tracewell.llm.common import cut, rank_within, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id, or have none, are documents of their own, told apart by ``identified``.
     """
     docs = identified(docs)
-    gone = minhash.near_duplicates(docs, words=5, key="row_id").where("not kept").select(F.col("doc_id").alias("row_id"))
+    gone = cut(minhash.near_duplicates(docs, words=5, key="row_id").where("not kept").select(F.col("doc_id").alias("row_id")))
     small = gone.count() <= minhash.SMALL
     return docs.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select(*COLUMNS)
 

@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import embed, graph, media, minhash, mixing, sharding, suffixdedup
+from tracewell.llm import common, embed, graph, media, minhash, mixing, sharding, suffixdedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -504,3 +505,20 @@ def test_pipeline_predicts_missing_languages(spark):
     assert got == {i: x for i, _, x in rows[:20]} | {20: "en", 21: "de", 22: "en"}
     got = cp.language(spark, make([(i, t, None) for i, t, _ in rows]), "").collect()
     assert sorted((x.doc_id, x.lang) for x in got) == [(i, None) for i in range(23)]
+
+
+def test_cut_frees_its_shuffle_files(spark):
+    """What led to a checkpoint leaves the disk, though the frame that it was made from is still held."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: set(re.findall(r"shuffle_(\d+)_", disk.getAllBlocks().mkString(" ")))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = there(), spark.conf.get(name)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    got = common.cut(counts.repartitionByRange(3, "k").sortWithinPartitions("k"))
+    end = time.time() + 20
+    while there() - before and time.time() < end:  # executors drop them a little later
+        time.sleep(0.1)
+    assert not there() - before
+    want = [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert [tuple(x) for x in got.collect()] == want == sorted(map(tuple, counts.collect())) == sorted(map(tuple, counts.collect()))
+    assert spark.conf.get(name) == setting

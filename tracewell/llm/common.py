@@ -93,10 +93,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is made and run inside go when the run ends.
+
+    They would lie there until the driver happens to collect its garbage. Nothing that is read
+    again may be made inside: a second run of it would have to make its shuffles anew.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder."""
+    """Cut the lineage through the reliable checkpoint folder; the shuffle files that led there go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, freeing
 
 
 def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
+    with freeing(edges.sparkSession):
+        r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
     return r[0], r[1]
 
 
