@@ -119,6 +119,19 @@ def test_bounded_tables_change_nothing(codec, tik):
     assert [small.encode(t) for t in texts] == [tik.encode_ordinary(t) for t in texts]
 
 
+def test_a_transition_is_built_when_it_was_missed_often(codec):
+    fst, r = bpe.Transducer(codec.fst.ranks), random.Random(4)
+    pieces = ["".join(r.choice("abeinrt é日") for _ in range(r.randrange(1, 14))).encode() for _ in range(400)]
+    want = [tuple(codec.fst.ranks[t] for t in bpe.merge(codec.fst.ranks, p)) for p in pieces]
+    assert [fst.encode(p) for p in pieces] == want and len(fst.go) < 100
+    for _ in range(15 * bpe.MISSES):
+        assert [fst.encode(p) for p in pieces] == want
+    assert not fst.missed and len(fst.go) > 400
+    few = bpe.Transducer(codec.fst.ranks, 40)
+    for _ in range(2 * bpe.MISSES):
+        assert [few.encode(p) for p in pieces] == want and len(few.missed) <= 10
+
+
 def test_plain_merging_agrees_with_pairs(codec):
     r = random.Random(2)
     known = [i for i, t in codec.fst.bytes_of.items() if len(t) == 1 or bpe.merge(codec.fst.ranks, t) == [t]]

@@ -8,7 +8,9 @@ a 2-testable language over tokens, which a nondeterministic transducer reads
 with (tokens still undecided, place in the token trie). ``Transducer``
 determinises it lazily: a state is the set of live hypotheses (those that some
 token may still complete), a transition is built when first taken, and tokens leave as soon as all hypotheses agree on
-them, which is after at most one longest token of lookahead. States and piece
+them, which is after at most one longest token of lookahead. Building a transition
+costs more than the few merges of a short piece, and most are seldom taken: a short piece
+that misses one is merged plainly, until it was missed often. States and piece
 memo are bounded: beyond their limits they are dropped and built anew.
 
 Decoding. ``StreamDecoder`` takes ids in any chunks and emits text as soon as
@@ -38,6 +40,10 @@ WHITE = r"\t-\r\x20\x85\xa0  -     　"
 FEW = 250
 #: Most states of a transducer (and five times its remembered pairs of tokens), and most pieces in half of its memo. About 300 and 180 bytes each.
 LIMITS = (400_000, 200_000)
+#: Bytes up to which a piece may be merged plainly, which takes time in the square of them.
+SHORT = 32
+#: Misses of a transition by short pieces before it is built.
+MISSES = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,6 +71,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = LIMITS[0]):
         self.ranks, self.limit = ranks, states
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         self.right: dict[int, list[tuple[bytes, int]]] = {}
@@ -128,6 +135,7 @@ class Transducer:
         self.go: dict[int, int] = {}  # state * 256 + byte to the next state and, above 32 bits, the number of what leaves
         self.outs: list[tuple[int, ...]] = [()]
         self.out_number: dict[tuple[int, ...], int] = {(): 0}
+        self.missed: dict[int, int] = {}  # how often transitions were missed that aren't built
 
     @staticmethod
     def _pack(last: int, done: tuple, live: list) -> bytes:
@@ -214,6 +222,23 @@ class Transducer:
         made = self.go[state << 8 | byte] = which << 32 | number
         return made
 
+    def merged(self, piece: bytes) -> tuple[int, ...]:
+        """The encoding by merges: ids, the ends of their bytes and the ranks of neighbours stand in lists that shrink together."""
+        rank, ids, ends = self.ranks.get, list(map(self.single.__getitem__, piece)), list(range(len(piece) + 1))
+        goes = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while goes:
+            least = min(goes)
+            if least == NEVER:
+                break
+            i = goes.index(least)
+            ids[i] = least
+            del ids[i + 1], ends[i + 1], goes[i]
+            if i < len(goes):
+                goes[i] = rank(piece[ends[i] : ends[i + 2]], NEVER)
+            if i:
+                goes[i - 1] = rank(piece[ends[i - 1] : ends[i + 1]], NEVER)
+        return tuple(ids)
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if len(self.key) > self.limit:
             self.reset()
@@ -221,6 +246,13 @@ class Transducer:
         for byte in piece:
             made = go(state << 8 | byte)
             if made is None:
+                step = state << 8 | byte
+                misses = self.missed.pop(step, 0) + 1
+                if misses < MISSES and len(piece) <= SHORT:
+                    if len(self.missed) >= self.limit // 4:
+                        self.missed.clear()
+                    self.missed[step] = misses
+                    return self.merged(piece)
                 made = self.expand(state, byte)
             state = made & 0xFFFFFFFF
             if made > 0xFFFFFFFF:
