@@ -7,6 +7,7 @@ spelling of re-rendered JSON follow Python's rules.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -96,8 +97,13 @@ def epoch_ms(value) -> datetime | None:
         return None
 
 
+@functools.cache
+def _encoder(compact: bool, ordered: bool) -> json.JSONEncoder:
+    return json.JSONEncoder(ensure_ascii=False, sort_keys=ordered, separators=(",", ":") if compact else None, default=str)
+
+
 def dumps(value, compact: bool = False, ordered: bool = False) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=ordered, separators=(",", ":") if compact else None, default=str)
+    return _encoder(compact, ordered).encode(value)
 
 
 def joined(content) -> str:

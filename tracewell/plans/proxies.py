@@ -30,7 +30,11 @@ def text_of(c: str) -> Column:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as tool calls: users are sessions, hours are lines."""
-    e = read(spark, sf_dir, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("long")})
+    return calls_of(read(spark, sf_dir, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
+    e = events.withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("long")})
     k, u = F.col("k"), F.col("user_id")
     outcome = F.when(k < 20, "denied").when(k < 30, "error").when(k < 33, "pending").otherwise("ok")
     result = (
@@ -100,10 +104,10 @@ def talk_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` written as a session log: a call and, unless it is pending, its result on the next line."""
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    c = calls(spark, sf_dir).select(F.col("tool_use_id").cast("long").alias("event_id"), "file_path", "session_id", "tool_name", "outcome", "result_text", "is_error")
-    both = e.drop("session_id").join(c, "event_id")
+    """``events`` written as a session log: a call and, unless it is pending, its result on the next line.
+
+    Events are dealt over tasks before, as files have few pieces and reading lines takes long."""
+    both = calls_of(read(spark, sf_dir, "events").repartition("event_id")).withColumns({"event_id": F.col("tool_use_id").cast("long"), "k": F.get_json_object("input", "$.k").cast("long")})
     iso = lambda t: F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     uid = F.concat(F.lit("u"), text_of("event_id"))
     usage = F.struct(F.col("k").alias("input_tokens"), (F.col("k") * 2).alias("output_tokens"))
@@ -113,6 +117,6 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), text_of("event_id")).alias("tool_use_id"), F.col("result_text").alias("content"), F.col("is_error").alias("is_error"))
     later = F.col("ts") + F.make_dt_interval(secs=F.col("k") * F.lit(0.25))
     result = F.to_json(F.struct(F.lit("user").alias("type"), F.concat(F.lit("v"), text_of("event_id")).alias("uuid"), uid.alias("parentUuid"), F.col("session_id").alias("sessionId"), iso(later).alias("timestamp"), F.struct(F.lit("user").alias("role"), F.array(answer).alias("content")).alias("message")))
-    first = both.select("file_path", (F.col("event_id") * 2 + 1).alias("seq"), call.alias("raw"))
-    second = both.where("outcome <> 'pending'").select("file_path", (F.col("event_id") * 2 + 2).alias("seq"), result.alias("raw"))
-    return first.unionByName(second)
+    first = F.struct((F.col("event_id") * 2 + 1).alias("seq"), call.alias("raw"))
+    second = F.struct((F.col("event_id") * 2 + 2).alias("seq"), result.alias("raw"))
+    return both.select("file_path", F.inline(F.when(F.col("outcome") == "pending", F.array(first)).otherwise(F.array(first, second))))

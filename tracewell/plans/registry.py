@@ -103,8 +103,7 @@ def ingest_depth(spark, d):
 SELECT file_path, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_events, count(tool_use_id) AS n_tool_calls FROM lines GROUP BY file_path""")
 def session_rollup(spark, d):
     """A2: sessions of log files."""
-    recs = session_log.records(log_lines(spark, d))
-    return session_log.sessions(recs, session_log.tool_calls(recs)).select("file_path", "started_at", "ended_at", "n_events", "n_tool_calls")
+    return session_log.sessions(session_log.records(log_lines(spark, d))).select("file_path", "started_at", "ended_at", "n_events", "n_tool_calls")
 
 
 @query(f"WITH {CALLS} SELECT source, count(*) AS tool_calls, count(DISTINCT session_id) AS sessions FROM tool_calls GROUP BY source")

@@ -82,13 +82,15 @@ def read_lines(numbered_lines: DataFrame, parse, schema: str) -> DataFrame:
 
     target = StructType.fromDDL("file_path string, seq long, raw string, ok boolean, " + schema)
     arrow = to_arrow_schema(target)
-    names = [f.name for f in target][4:]
+    names, kinds = [f.name for f in target][4:], [f.type for f in arrow][3:]
+    bad = (False, *[None] * len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [parse(r) for r in b.column(2).to_pylist()]
-            cols = [pa.array([None if m is None else m.get(n) for m in made], arrow.field(n).type) for n in names]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m is not None for m in made]), *cols], schema=arrow)
+            made = map(parse, b.column(2).to_pylist())
+            rows = [bad if m is None else (True, *map(m.get, names)) for m in made]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], schema=arrow)
 
     return numbered_lines.select("file_path", "seq", "raw").mapInArrow(run, target)
 

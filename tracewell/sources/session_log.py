@@ -78,15 +78,22 @@ def events(recs: DataFrame) -> DataFrame:
     return schema.conform(with_depth(recs.drop("uses", "results", "usage")), schema.EVENTS)
 
 
+def call_id(use):
+    return F.coalesce(use.id, F.concat_ws(":", F.col("event_id"), use["at"]))
+
+
 def tool_calls(recs: DataFrame, limit: int = C.RESULT_LIMIT, denials: tuple[str, ...] = (C.USER_DENIAL, C.CLASSIFIER_DENIAL)) -> DataFrame:
-    """Each call once in a file, with the first result of its id in that file."""
+    """Each call once in a file, with the first result of its id in that file.
+
+    Calls and results leave a line together and meet in one window, so that lines are parsed once."""
     recs = recs.withColumn("mode", carried(F.col("permission_mode"), ["file_path"], ["seq"]))
-    results = recs.select("file_path", "seq", F.col("event_id").alias("result_event_id"), F.col("ts").alias("result_ts"), F.explode("results").alias("r"))
-    results = first_of(results, ["file_path", "r.id"], ["seq", "r.at"]).select("file_path", F.col("r.id").alias("tool_use_id"), "result_event_id", "result_ts", F.col("r.text").alias("full"), F.col("r.error").alias("failed"))
-    uses = recs.select("session_id", "file_path", "source", "seq", "ts", "event_id", "mode", "cwd", "is_sidechain", "source_call", F.explode("uses").alias("u"))
-    uses = uses.withColumn("tool_use_id", F.coalesce("u.id", F.concat_ws(":", "event_id", "u.at")))
-    uses = first_of(uses, ["file_path", "tool_use_id"], ["seq", "u.at"])
-    both = uses.join(results, ["file_path", "tool_use_id"], "left")
+    uses = F.transform("uses", lambda u: F.struct(call_id(u).alias("tool_use_id"), F.lit(0).alias("kind"), u["at"].alias("at"), u.alias("u"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("error")))
+    results = F.transform("results", lambda r: F.struct(r.id.alias("tool_use_id"), F.lit(1).alias("kind"), r["at"].alias("at"), F.lit(None).cast("struct<at:int,id:string,name:string,input:string,summary:string>").alias("u"), r.text.alias("text"), r.error.alias("error")))
+    both = recs.select("session_id", "file_path", "source", "seq", "ts", "event_id", "mode", "cwd", "is_sidechain", "source_call", F.inline(F.concat(uses, results)))
+    by = W.partitionBy("file_path", "tool_use_id").orderBy("kind", "seq", "at")
+    first = F.first(F.when(F.col("kind") == 1, F.struct("event_id", "ts", "text", "error")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    both = both.withColumns({"__n": F.row_number().over(by), "r": first}).where("__n = 1 and kind = 0")
+    both = both.withColumns({"result_event_id": F.col("r.event_id"), "result_ts": F.col("r.ts"), "full": F.col("r.text"), "failed": F.col("r.error")})
     has, name = F.col("result_event_id").isNotNull(), F.col("u.name")
     both = both.withColumn("outcome", C.outcome(has, F.col("full"), F.coalesce("failed", F.lit(False)), denials))
     cut, long_ = C.truncated(F.col("full"), limit)
@@ -111,35 +118,56 @@ def tool_calls(recs: DataFrame, limit: int = C.RESULT_LIMIT, denials: tuple[str,
     return schema.conform(made, schema.TOOL_CALLS)
 
 
+#: Token counts of a line and the columns of their totals.
+USAGE = (("input", "input_tokens"), ("output", "output_tokens"), ("read", "cache_read_tokens"), ("made", "cache_creation_tokens"))
+
+
+def request():
+    """What a line's usage counts for once: its request, or the line."""
+    return F.coalesce(F.concat(F.lit("r"), "request_id"), F.concat(F.lit("#"), "seq"))
+
+
 def usage_totals(recs: DataFrame) -> DataFrame:
     """Token totals of each file; a request's usage counts once, where it first appears."""
-    used = recs.where("usage is not null").withColumn("request", F.coalesce(F.concat(F.lit("r"), "request_id"), F.concat(F.lit("#"), "seq")))
+    used = recs.where("usage is not null").withColumn("request", request())
     once = first_of(used.select("file_path", "request", "seq", "usage"), ["file_path", "request"], ["seq"])
-    return once.groupBy("file_path").agg(*[F.sum(f"usage.{a}").alias(b) for a, b in (("input", "input_tokens"), ("output", "output_tokens"), ("read", "cache_read_tokens"), ("made", "cache_creation_tokens"))])
-
-
-def sessions(recs: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row for each file with a record."""
-    latest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq")))
-    own = recs.groupBy("file_path").agg(
-        F.coalesce(F.min_by("sid", F.when(F.col("sid").isNotNull(), F.col("seq"))), F.first(stem(F.col("file_path")))).alias("session_id"),
+    return once.groupBy("file_path").agg(*[F.sum(f"usage.{a}").alias(b) for a, b in USAGE])
+
+
+def sessions(recs: DataFrame) -> DataFrame:
+    """One row for each file with a record.
+
+    A line leaves itself (kind 0), its calls (1) and its request's usage (2). Grouped by key, a call
+    and a request are there once; grouped by file, they add up. So lines are parsed once."""
+    null = lambda kind: F.lit(None).cast(kind)
+    item = lambda kind, key, usage: F.struct(F.lit(kind).alias("kind"), key.alias("key"), usage.alias("usage"))
+    no_usage = null(recs.schema["usage"].dataType)
+    used = F.when(F.col("usage").isNotNull(), F.array(item(2, request(), F.col("usage")))).otherwise(F.array())
+    items = F.concat(F.array(item(0, null("string"), no_usage)), F.transform("uses", lambda u: item(1, call_id(u), no_usage)), used)
+    about = ("sid", "cwd", "git_branch", "version", "entrypoint")
+    lines = recs.select("file_path", "seq", "source", "ts", *about, F.explode(items).alias("i"))
+    lines = lines.select("file_path", "seq", "source", "i.kind", "i.key", *[F.col(f"i.usage.{a}").alias(f"u_{a}") for a, _ in USAGE], *[F.when(F.col("i.kind") == 0, F.col(c)).alias(c) for c in ("ts", *about)])
+    seen = lambda c: F.when(F.col(c).isNotNull(), F.col("seq"))
+    latest = [F.max_by(c, seen(c)).alias(c) for c in about[1:]]  # of kind 0, of which a file has one group
+    once = lines.groupBy("file_path", "kind", "key").agg(
+        F.count("*").alias("n"), F.first("source").alias("source"), F.min_by("sid", seen("sid")).alias("sid"), F.min("ts").alias("first"), F.max("ts").alias("last"), *latest,
+        *[F.min_by(f"u_{a}", "seq").alias(f"u_{a}") for a, _ in USAGE],
+    )
+    own = once.groupBy("file_path").agg(
         F.first("source").alias("source"),
-        F.min("ts").alias("started_at"),
-        F.max("ts").alias("ended_at"),
-        F.count("*").alias("n_events"),
-        latest("cwd").alias("cwd"),
-        latest("git_branch").alias("git_branch"),
-        latest("version").alias("cc_version"),
-        latest("entrypoint").alias("entrypoint"),
+        F.max("sid").alias("sid"),
+        F.min("first").alias("started_at"),
+        F.max("last").alias("ended_at"),
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n_events"),
+        F.count(F.when(F.col("kind") == 1, 1)).alias("n_tool_calls"),
+        *[F.max(a).alias(b) for a, b in (("cwd", "cwd"), ("git_branch", "git_branch"), ("version", "cc_version"), ("entrypoint", "entrypoint"))],
+        *[F.coalesce(F.sum(f"u_{a}"), F.lit(0)).alias(b) for a, b in USAGE],
     )
-    counts = calls.groupBy("file_path").agg(F.count("*").alias("n_tool_calls"))
-    both = own.join(counts, "file_path", "left").join(usage_totals(recs), "file_path", "left")
-    zero = ["n_tool_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
-    return schema.conform(both.na.fill(0, zero).withColumn("project_dir", parent_name(F.col("file_path"))), schema.SESSIONS)
+    path = F.col("file_path")
+    return schema.conform(own.withColumns({"session_id": F.coalesce("sid", stem(path)), "project_dir": parent_name(path)}), schema.SESSIONS)
 
 
 def ingest(lines: DataFrame, keep=as_is) -> dict[str, DataFrame]:
     """The tables of a format's lines. ``keep`` may write the parsed lines down, since each table reads them again."""
     recs = keep(records(lines))
-    calls = tool_calls(recs)
-    return {"sessions": sessions(recs, calls), "events": events(recs), "tool_calls": calls}
+    return {"sessions": sessions(recs), "events": events(recs), "tool_calls": tool_calls(recs)}
