@@ -25,45 +25,51 @@ LINE = (
 )
 
 
+#: Fields of a record that are taken as they are, if they are strings.
+TEXTS = {
+    "parent_uuid": "parentUuid",
+    "type": "type",
+    "permission_mode": "permissionMode",
+    "effort": "effort",
+    "request_id": "requestId",
+    "cwd": "cwd",
+    "git_branch": "gitBranch",
+    "version": "version",
+    "entrypoint": "entrypoint",
+    "source_call": "sourceToolAssistantUUID",
+}
+_SPENT = (("input", "input_tokens"), ("output", "output_tokens"), ("read", "cache_read_input_tokens"), ("made", "cache_creation_input_tokens"))
+
+
 def parse_line(raw: str) -> dict | None:
+    """The fields of ``LINE`` that the record has; others are missing."""
     r = P.load(raw)
     if r is None:
         return None
     m = P.table(r.get("message"))
-    uses, results = [], []
-    blocks = P.objects(m.get("content"))
-    for i, b in enumerate(blocks):
-        if b.get("type") == "tool_use":
+    content, uses, results = m.get("content"), [], []
+    for i, b in enumerate(P.objects(content)):
+        kind = b.get("type")
+        if kind == "tool_use":
             name, given = P.text(b.get("name")), b.get("input")
             uses.append({"at": i, "id": P.some(b.get("id")), "name": name, "input": None if given is None else P.dumps(given), "summary": P.summary(name, given)})
-        elif b.get("type") == "tool_result" and P.some(b.get("tool_use_id")):
+        elif kind == "tool_result" and P.some(b.get("tool_use_id")):
             results.append({"at": i, "id": b["tool_use_id"], "text": P.flat_result(b.get("content")), "error": P.flag(b.get("is_error"))})
+    out = {name: r[field] for name, field in TEXTS.items() if field in r and isinstance(r[field], str)}
     u = P.table(m.get("usage"))
-    usage = {"input": P.number(u.get("input_tokens")), "output": P.number(u.get("output_tokens")), "read": P.number(u.get("cache_read_input_tokens")), "made": P.number(u.get("cache_creation_input_tokens"))}
-    return {
-        "uuid": P.some(r.get("uuid")),
-        "parent_uuid": P.text(r.get("parentUuid")),
-        "sid": P.some(r.get("sessionId")) or P.some(r.get("session_id")),
-        "ts": P.moment(r.get("timestamp")),
-        "type": P.text(r.get("type")),
-        "role": P.text(m.get("role")),
-        "is_sidechain": P.flag(r.get("isSidechain")),
-        "is_meta": P.flag(r.get("isMeta")),
-        "permission_mode": P.text(r.get("permissionMode")),
-        "effort": P.text(r.get("effort")),
-        "request_id": P.text(r.get("requestId")),
-        "message_id": P.some(r.get("messageId")) or P.text(m.get("id")),
-        "model": P.text(m.get("model")),
-        "cwd": P.text(r.get("cwd")),
-        "git_branch": P.text(r.get("gitBranch")),
-        "version": P.text(r.get("version")),
-        "entrypoint": P.text(r.get("entrypoint")),
-        "source_call": P.text(r.get("sourceToolAssistantUUID")),
-        "text": P.joined(m.get("content")),
-        "uses": uses,
-        "results": results,
-        "usage": usage if u else None,
-    }
+    if u:
+        out["usage"] = {name: P.number(u[field]) if field in u else 0 for name, field in _SPENT}
+    out["uuid"] = P.some(r.get("uuid"))
+    out["sid"] = P.some(r.get("sessionId")) or P.some(r.get("session_id"))
+    out["ts"] = P.moment(r.get("timestamp"))
+    out["role"] = P.text(m.get("role"))
+    out["is_sidechain"] = P.flag(r.get("isSidechain"))
+    out["is_meta"] = P.flag(r.get("isMeta"))
+    out["message_id"] = P.some(r.get("messageId")) or P.text(m.get("id"))
+    out["model"] = P.text(m.get("model"))
+    out["text"] = P.joined(content)
+    out["uses"], out["results"] = uses, results
+    return out
 
 
 def records(lines: DataFrame) -> DataFrame:
